@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, exact, mixing, warc
+from folioforge.llm import bpe, exact, minhash, mixing, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -21,6 +21,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(_table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, ids=False)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archive_and_read(_table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -36,6 +40,7 @@ def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op5_minhash": op5_minhash,
     "op6_warc": op6_warc,
     "op7_mix": op7_mix,
     "op9_exact": op9_exact,
@@ -43,6 +48,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+OP5_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+), g as (
+  select distinct doc_id, array_to_string(ws[i : i + 4], ' ') as s from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from w where len(ws) > 0)
+), n as (
+  select doc_id, count(*) as n from g group by doc_id
+), f as (
+  select doc_id, md5(string_agg(s, chr(10) order by s)) as f from g group by doc_id
+), r as (
+  select f, min(doc_id) as rep from f group by f
+), q as (
+  select g.doc_id, g.s from g join r on g.doc_id = r.rep
+), l as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from q a join q b on a.s = b.s and a.doc_id < b.doc_id group by all
+), e as (
+  select a, b from l join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)
+), e2 as (
+  select a, b from e union all select b, a from e
+), t as (
+  select rep as node, rep as label from r
+  union
+  select e2.b, t.label from t join e2 on e2.a = t.node where t.label < e2.b
+), c as (
+  select node, min(label) as component_id from t group by node
+)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(c.component_id, w.doc_id) as component_id, coalesce(c.component_id, w.doc_id) = w.doc_id as kept
+from w left join n using (doc_id) left join f using (doc_id) left join r using (f) left join c on c.node = r.rep
+"""
+
 OP6_SQL = r"""
 with p as (
   select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as h from pages
@@ -94,4 +129,4 @@ g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(d.t) as text_sha256 from d join g using (t)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_warc": OP6_SQL, "op7_mix": OP7_SQL, "op9_exact": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_minhash": OP5_SQL, "op6_warc": OP6_SQL, "op7_mix": OP7_SQL, "op9_exact": OP9_SQL}
