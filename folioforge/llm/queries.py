@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, exact, minhash, mixing, warc
+from folioforge.llm import bpe, embed, exact, minhash, mixing, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -38,12 +38,17 @@ def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.embedding_links(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op5_minhash": op5_minhash,
     "op6_warc": op6_warc,
     "op7_mix": op7_mix,
     "op9_exact": op9_exact,
+    "op10_embeddings": op10_embeddings,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -129,4 +134,25 @@ g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(d.t) as text_sha256 from d join g using (t)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_minhash": OP5_SQL, "op6_warc": OP6_SQL, "op7_mix": OP7_SQL, "op9_exact": OP9_SQL}
+OP10_SQL = r"""
+with recursive v as (
+  select vec_id, embedding::double[] as x from embeddings where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0
+), e as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.x) = len(b.x) and list_cosine_similarity(a.x, b.x) >= 0.9
+), t as (
+  select vec_id as node, vec_id as label from v
+  union
+  select e.b, t.label from t join e on e.a = t.node where t.label < e.b
+), c as (
+  select node, min(label) as component_id from t group by node
+), n as (
+  select a, count(*) as n_links from e group by a
+)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, coalesce(component_id, vec_id) as component_id, coalesce(component_id, vec_id) = vec_id as kept
+from embeddings left join c on node = vec_id left join n on a = vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_embeddings": OP10_SQL,
+    "op5_minhash": OP5_SQL, "op6_warc": OP6_SQL, "op7_mix": OP7_SQL, "op9_exact": OP9_SQL}
