@@ -189,9 +189,13 @@ def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVIS
     total = plan.agg(F.sum("payload_bytes")).first()[0] or 0
     n = max(1, -(-total // archive_bytes))
     body = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", "html").withColumn("payload_digest", sha1_base32(body))
-    left, right = rows.alias("r"), plan.alias("p")
-    same = F.col("r.page_id").eqNullSafe(F.col("p.page_id")) & (F.col("r.payload_digest") == F.col("p.payload_digest"))
+    key = F.xxhash64("page_id", "payload_digest")
+    rows = pages.select("page_id", "url", "html").withColumn("payload_digest", sha1_base32(body)).withColumn("key", key)
+    # both sides are dealt by one key into as many parts as there are archives: the join needs no other shuffle
+    left, right = rows.repartition(n, "key").alias("r"), plan.withColumn("key", key).repartition(n, "key").alias("p")
+    # written as ranges, the other two conditions do not become join keys, which would ask for a shuffle by all three
+    same = [F.col("r.key") == F.col("p.key"), F.col("r.payload_digest").between(F.col("p.payload_digest"), F.col("p.payload_digest"))]
+    same.append(F.coalesce("r.page_id", F.lit(-1)).between(F.coalesce("p.page_id", F.lit(-1)), F.coalesce("p.page_id", F.lit(-1))))
     joined = left.join(right, same).select("r.page_id", "url", "html", "p.payload_digest", "payload_bytes", "refers_to")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -203,7 +207,7 @@ def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVIS
         for frames in archive_rows(records()):
             yield pa.RecordBatch.from_arrays([pa.array([frames], pa.binary())], names=["frames"])
 
-    frames = joined.repartition(n, "page_id").mapInArrow(run, "frames binary")
+    frames = joined.mapInArrow(run, "frames binary")
     frames.select(F.col("frames").cast("string")).write.text(path, lineSep="\n")
 
 
