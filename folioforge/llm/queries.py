@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, embed, exact, minhash, mixing, warc
+from folioforge.llm import bpe, embed, exact, minhash, mixing, quality, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -21,6 +21,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(_table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, ids=False)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op4_quality": op4_quality,
     "op5_minhash": op5_minhash,
     "op6_warc": op6_warc,
     "op7_mix": op7_mix,
