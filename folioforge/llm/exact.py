@@ -106,4 +106,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``docs`` without the rows that :func:`exact_groups` drops; columns stay as they are."""
     groups = exact_groups(docs, id_col, text_col)
     gone = groups.filter("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")

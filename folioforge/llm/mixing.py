@@ -90,3 +90,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "target",
         (rounds * F.col("size") + part).cast("bigint").alias("taken"),
     )
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, columns as they are.
+
+    Documents stay whole here: the one at the cut of a source is taken once more if at least half
+    of it lies before the cut.
+    """
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    taken = mix(docs, id_col, text_col, source_col, **options).filter("taken > 0").groupBy(F.col(id_col).alias("_id")).agg(F.max(times).alias("_times"))
+    rows = docs.join(taken.filter("_times > 0"), docs[id_col].eqNullSafe(taken["_id"]))
+    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_copy")).drop("_copy")
