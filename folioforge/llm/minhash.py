@@ -36,6 +36,8 @@ from folioforge.llm.util import map_batches, materialize, strings
 THRESHOLD = 85
 #: Pairs that are compared with one copy of their pivot's text, about.
 PIVOT_SHARE = 5000
+#: Classes of shingles by which the size of an intersection is bounded.
+CLASSES = 64
 _ORDERS = (11, 23)
 
 
@@ -98,10 +100,16 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD) -> D
     return materialize(rows.mapInArrow(run, "a bigint, b bigint"))
 
 
-def _private(texts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(doc_id, n, most): most bounds what a document can share with any other of ``texts``.
+def _class_counts(name: str) -> Column:
+    return F.array(*[F.count_if(F.pmod("shingle", F.lit(CLASSES)) == k) for k in range(CLASSES)]).alias(name)
 
-    Documents that cannot be linked are left out; without them the second pass bounds better.
+
+def _shareable(texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(doc_id, n, counts): how many shingles, by class, a document may share with any other of ``texts``.
+
+    Shingles fall into CLASSES classes by their last bits; those that no other document holds are
+    not counted. Documents that cannot be linked are left out; without them the second pass
+    bounds better.
     """
 
     def make():
@@ -112,15 +120,17 @@ def _private(texts: DataFrame, sizes: DataFrame) -> DataFrame:
         return run
 
     rows = map_batches(texts, make, "doc_id bigint, shingles array<bigint>").select("doc_id", F.explode("shingles").alias("shingle"))
-    fits = 100 * F.col("most") >= THRESHOLD * F.col("n")
+    total = materialize(rows.groupBy("doc_id").agg(_class_counts("counts")).join(sizes, "doc_id"))
+    alive = total
     for _ in range(2):
         once = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).filter("doc_id = other")
-        own = once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
-        bound = sizes.join(own, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
-        bound = materialize(bound.filter(fits))
-        sizes = bound.select("doc_id", "n")
-        rows = rows.join(sizes.select("doc_id"), "doc_id", "left_semi")
-    return bound
+        own = once.groupBy("doc_id").agg(_class_counts("own"))
+        left = F.when(F.col("own").isNull(), F.col("counts")).otherwise(F.zip_with("counts", "own", lambda x, y: x - y))
+        alive = alive.select("doc_id").join(total, "doc_id").join(own, "doc_id", "left").select("doc_id", "n", left.alias("counts"))
+        alive = alive.withColumn("most", F.aggregate("counts", F.lit(0).cast("bigint"), lambda x, y: x + y))
+        alive = materialize(alive.filter(100 * F.col("most") >= THRESHOLD * F.col("n")))
+        rows = rows.join(alive.select("doc_id"), "doc_id", "left_semi")
+    return alive
 
 
 def near_duplicate_links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,20 +157,25 @@ def near_duplicate_links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_
     mixed = materialize(places.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"))
     places = materialize(places.join(mixed, "key", "left_semi"))
     left = materialize(places.select("doc_id").distinct())
-    bound = _private(texts.join(left, "doc_id", "left_semi"), reps.select("doc_id", "n").join(left, "doc_id", "left_semi"))
+    bound = _shareable(texts.join(left, "doc_id", "left_semi"), reps.select("doc_id", "n").join(left, "doc_id", "left_semi"))
     side = places.join(bound, "doc_id").join(reps.select("doc_id", "bands"), "doc_id")
     side = materialize(side)
     return links.unionByName(confirm(_open_pairs(side), texts))
 
 
 def _open_pairs(side: DataFrame) -> DataFrame:
-    """Pairs in one bucket and two components that the bound leaves; each from its first common bucket."""
+    """Pairs in one bucket and two components that the bounds leave; each from its first common bucket.
+
+    A pair shares at most the smaller of its two totals, and at most the sum of the smaller counts
+    of each class, which also sees most of what the two do not share.
+    """
     x, y = side.alias("x"), side.alias("y")
-    most = F.least(F.col("x.most"), F.col("y.most"))
-    fits = 100 * most >= THRESHOLD * (F.col("x.n") + F.col("y.n") - most)
+    reach = lambda most: 100 * most >= THRESHOLD * (F.col("x.n") + F.col("y.n") - most)
+    fits = reach(F.least(F.col("x.most"), F.col("y.most")))
+    by_class = F.aggregate(F.zip_with("x.counts", "y.counts", lambda p, q: F.least(p, q)), F.lit(0).cast("bigint"), lambda p, q: p + q)
     here = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
     first = F.array_intersect("x.bands", "y.bands")[0] == F.col("x.key")
-    return x.join(y, here & fits & first).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    return x.join(y, here & fits & first & reach(by_class)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
