@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.util import Memo, map_batches, strings
 
 #: Entries of each of the two memo tables of a Python worker.
-MEMO_WORDS, MEMO_PAIRS = 300_000, 500_000
+MEMO_WORDS, MEMO_PAIRS = 150_000, 150_000
 _MARKS = ".,;:!?%$#&*()"
 _USUAL = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
 _ODD_SPACE = re.compile(r" \s|\s |^ | $")
@@ -174,6 +174,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
 
     def make():
         c = coder(shared.value, pattern)
+        Memo.keep_only(c.words, c.pieces, c.fits)
 
         gc.disable()  # nothing here makes cycles, and the memo tables are costly to traverse
 
@@ -205,6 +206,7 @@ def decode_ids(coded: DataFrame, vocabulary: str, pattern: str, id_col: str = "d
 
     def make():
         c = coder(shared.value, pattern)
+        Memo.keep_only(c.words, c.pieces, c.fits)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             decoded = [c.decode(x or b"") for x in batch.column(1).to_pylist()]

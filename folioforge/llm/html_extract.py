@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.util import strings
+from folioforge.llm.util import bound_batches, strings
 
 SAMPLE_PAGES, SAMPLE_CHARS = 200, 100_000
 #: Costs of cutting between successive blocks and between blocks with one parent or grandparent.
@@ -294,6 +294,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
 
 def extract(pages: DataFrame, weights: np.ndarray | None = None, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
     """One row per page: page_id, url, text (its main text), n_chars."""
+    bound_batches(pages.sparkSession)
     weights = train(pages, id_col, html_col) if weights is None else weights
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

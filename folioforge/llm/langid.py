@@ -34,7 +34,7 @@ SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 300, 20_000
 LONGEST, ROUNDS = 8, 3
 #: Pseudo-count of a piece, and the probability of a character outside the vocabulary.
 PRIOR, UNKNOWN = 0.05, 1e-6
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 #: Characters whose words are looked up at once.
 BLOCK_CHARS = 1_000_000
 UNDETERMINED = "und"

@@ -45,6 +45,8 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, n_shingles, print_a, print_b, bands): the fingerprint of the set and its band keys."""
 
     def make():
+        sh.forget_others()
+
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             size, first, second, bands = [], [], [], []
             for text in strings(batch.column(1)):
@@ -83,6 +85,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD) -> D
     rows = partners.unionByName(pivots).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        sh.forget_others()
         pivot, own = None, np.empty(0, np.uint64)
         for batch in batches:
             left, right = [], []

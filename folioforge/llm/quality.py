@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.util import Memo, map_batches, strings
+from folioforge.llm.util import Memo, bound_batches, map_batches, strings
 
 PASSAGE_WORDS = 64
 SAMPLE_PER_LABEL, SAMPLE_WORDS = 1500, 4096
@@ -54,7 +54,7 @@ def _code(word: str) -> int:
     return xxhash.xxh3_64_intdigest(shape) % SHAPES | xxhash.xxh3_64_intdigest(stem) % LEXICON << 8 | upper << 16 | marks << 22 | min(len(word), 63) << 28 | own << 34
 
 
-_codes = Memo(_code, 300_000)
+_codes = Memo(_code, 150_000)
 
 
 def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +197,7 @@ def score_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
 
     def make():
         m = shared.value
+        Memo.keep_only(_codes)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = strings(batch.column(1))
@@ -224,9 +225,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     model = train(docs, labels, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         m = shared.value
+        Memo.keep_only(_codes)
         for batch in batches:
             texts = strings(batch.column(place))
             scores = m.scores(texts) if m else np.full(len(texts), 1.0)

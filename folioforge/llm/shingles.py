@@ -12,7 +12,7 @@ WIDTH = 5
 #: Bands of a signature, values in a band. Each permutation gives two values, its minimum and its maximum.
 BANDS, ROWS = 28, 6
 PERMUTATIONS = BANDS * ROWS // 2
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -35,6 +35,11 @@ _XOR, _ODD = _constants(1)
 _words = Memo(xxhash.xxh3_64_intdigest, MEMO_WORDS)
 
 
+def forget_others() -> None:
+    """Empty the memo tables that other operators left in this Python worker."""
+    Memo.keep_only(_words)
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit shingles of a text: A-Z lower-cased, five words each.
 

@@ -38,7 +38,7 @@ from folioforge.llm import anchors
 from folioforge.llm.anchors import LENGTH, PIECE
 from folioforge.llm.repeats import repeated_spans
 from folioforge.llm.shingles import mix64
-from folioforge.llm.util import materialize
+from folioforge.llm.util import bound_batches, materialize
 
 #: Text bytes whose blocks share a part of the shuffle, about.
 PART_BYTES = 16 << 20
@@ -293,6 +293,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _find(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    bound_batches(docs.sparkSession)
     texts = _texts(docs, id_col, text_col).filter("doc_id is not null")
     total = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))

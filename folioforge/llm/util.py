@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Sequence
+import weakref
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Bytes in an Arrow batch, about.
+BATCH_BYTES = 16 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -48,9 +52,22 @@ class Memo(dict):
     """A memo table of bounded size for ``fn``: two generations, the older one is dropped when
     the newer one is full, so frequent keys stay."""
 
+    _all: weakref.WeakSet = weakref.WeakSet()
+
     def __init__(self, fn: Callable, limit: int) -> None:
         super().__init__()
         self.fn, self.limit, self.old = fn, limit, {}
+        Memo._all.add(self)
+
+    __hash__ = object.__hash__
+
+    @classmethod
+    def keep_only(cls, *memos: Memo) -> None:
+        """Empty all other memo tables of this Python worker: what an earlier stage left in it."""
+        for other in list(cls._all):
+            if not any(other is m for m in memos):
+                other.clear()
+                other.old = {}
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -63,9 +80,18 @@ class Memo(dict):
         return value
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch grow far beyond BATCH_BYTES, however long the texts are."""
+    now = spark.conf.get(_BATCH_SETTING, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function that is made once per task."""
 
+    bound_batches(df.sparkSession)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         fn = make()
         for batch in batches:
@@ -78,7 +104,3 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 def strings(column: pa.Array) -> list[str]:
     """The values of a string column; null becomes the empty string."""
     return ["" if x is None else x for x in column.to_pylist()]
-
-
-def with_columns_of(result: DataFrame, docs: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
-    return result.join(docs.select(key, *names), key, "left")

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.util import materialize, scratch_dir
+from folioforge.llm.util import bound_batches, materialize, scratch_dir
 
 #: Payload bytes of one archive, about.
 ARCHIVE_BYTES = 16 << 20
@@ -198,6 +198,8 @@ def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVIS
     same.append(F.coalesce("r.page_id", F.lit(-1)).between(F.coalesce("p.page_id", F.lit(-1)), F.coalesce("p.page_id", F.lit(-1))))
     joined = left.join(right, same).select("r.page_id", "url", "html", "p.payload_digest", "payload_bytes", "refers_to")
 
+    bound_batches(pages.sparkSession)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
             for batch in batches:
