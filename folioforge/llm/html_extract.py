@@ -8,8 +8,8 @@ labelling of least total cost; the blocks on the source's side are the main text
 
 The classifier adds what the tree says (landmark elements, roles, words in class and id) to a
 logistic model of the text itself (length, links, marks, kind of element). That model is fitted on
-a bounded sample of the pages at hand, ``SAMPLE_PAGES`` pages of at most ``SAMPLE_CHARS``
-characters, the first ones in a hash order, where the blocks that lie in a landmark give the
+a bounded sample of the pages at hand, at most ``SAMPLE_PAGES`` pages of at most ``SAMPLE_CHARS``
+characters, chosen by a hash of their ids, where the blocks that lie in a landmark give the
 labels; it is held close to fixed weights, which remain where the sample teaches nothing.
 
 Defined results: null or empty html, and pages without content, give an empty text. Broken markup
@@ -28,10 +28,11 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.util import bound_batches, strings
+from folioforge.llm.util import bound_batches, in_hash_sample, strings
 
 SAMPLE_PAGES, SAMPLE_CHARS = 200, 100_000
 #: Costs of cutting between successive blocks and between blocks with one parent or grandparent.
@@ -288,8 +289,10 @@ def main_text(html: str | None, weights: np.ndarray) -> str:
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> np.ndarray:
     """Fit the text model on a bounded sample of the pages."""
-    sample = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter(F.length("html") <= SAMPLE_CHARS)
-    return fit([r["html"] for r in sample.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PAGES).collect()])
+    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter(F.length("html") <= SAMPLE_CHARS)
+    found = rows.filter(in_hash_sample(F.col("id"), SAMPLE_PAGES, pages.count())).collect()
+    found.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r["id"])), r["html"]))
+    return fit([r["html"] for r in found[:SAMPLE_PAGES]])
 
 
 def extract(pages: DataFrame, weights: np.ndarray | None = None, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:

@@ -48,6 +48,16 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def in_hash_sample(key: Column, wanted: int, total: int) -> Column:
+    """Whether a row is in a sample of about 2 * ``wanted`` rows of ``total``, chosen by the hash of its key.
+
+    What the driver then collects is bounded by that number, not by the number of partitions, as it
+    would be for the first rows of a sort.
+    """
+    share = min(1.0, 2 * wanted / max(1, total))
+    return F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))
+
+
 class Memo(dict):
     """A memo table of bounded size for ``fn``: two generations, the older one is dropped when
     the newer one is full, so frequent keys stay."""
