@@ -6,8 +6,8 @@ of hashed words, and a few ratios, go through one tanh layer. Gated attention we
 weighted passage representation.
 
 The model is fitted on the driver with numpy on a bounded sample of labelled rows:
-``SAMPLE_PER_LABEL`` documents for each label, of at most ``SAMPLE_WORDS`` words, the first ones in
-a hash order. Scoring covers every passage of every text, in tasks, in blocks of bounded size.
+``SAMPLE_PER_LABEL`` documents for each label, of at most about ``SAMPLE_WORDS`` words, chosen by
+a hash of their ids. Scoring covers every passage of every text, in tasks, in blocks of bounded size.
 
 Defined results: a null or empty text is a bag with one passage without words, and gets the score
 the model gives that. Rows that repeat get equal scores. Labels that are neither 0 nor 1 are not
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.util import Memo, bound_batches, map_batches, strings
+from folioforge.llm.util import Memo, bound_batches, in_hash_sample, map_batches, strings
 
 PASSAGE_WORDS = 64
 SAMPLE_PER_LABEL, SAMPLE_WORDS = 1500, 4096
@@ -179,11 +179,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(share) < 2:
         return None
-    spark = docs.sparkSession
-    picked = [known.filter(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_label) for v in (0, 1)]
-    ids = spark.createDataFrame([tuple(r) for part in picked for r in part.collect()], known.schema)
+    picked = [known.filter((F.col("label") == v) & in_hash_sample(F.col("doc_id"), per_label, share[v])).collect() for v in (0, 1)]
+    ids = docs.sparkSession.createDataFrame([tuple(r) for part in picked for r in part], known.schema)
     short = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text") <= 8 * SAMPLE_WORDS)
-    rows = short.join(F.broadcast(ids), "doc_id").collect()  # at most 4 * per_label rows of bounded length
+    rows = short.join(F.broadcast(ids), "doc_id").collect()  # about 4 * per_label rows of bounded length
     rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r["doc_id"])), r["text"]))
     sample = [r for v in (0, 1) for r in [r for r in rows if r["label"] == v][:per_label]]
     if len({r["label"] for r in sample}) < 2:
