@@ -6,7 +6,7 @@ single segmentation is chosen; a text's is the product over its words. The piece
 are learned by expectation maximisation (forward and backward sums over the words of the sample).
 
 The model is fitted on a bounded sample: ``SAMPLE_PER_LANGUAGE`` texts for each language, of at
-most ``SAMPLE_CHARS`` characters, the first ones in a hash order. Whole texts are scored; the
+most ``SAMPLE_CHARS`` characters, chosen by a hash of their ids. Whole texts are scored; the
 results for words are memoised in a table of bounded size.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without labelled
@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.util import map_batches, strings
+from folioforge.llm.util import in_hash_sample, map_batches, strings
 
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 300, 20_000
 #: Characters of the longest piece that is used, rounds of expectation maximisation.
@@ -216,16 +216,16 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Fit on a sample of the labelled rows that may be learned from."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang")).filter("lang is not null").filter(~held_out(F.col("doc_id")))
-    names = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    names = sorted(sizes)
     if not names:
         return Model([], {})
-    ids = None
+    picked = F.lit(False)
     for name in names:
-        some = known.filter(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_language)
-        ids = some if ids is None else ids.unionByName(some)
-    ids = docs.sparkSession.createDataFrame(ids.select("doc_id").distinct().collect(), known.select("doc_id").schema)
+        picked = picked | ((F.col("lang") == name) & in_hash_sample(F.col("doc_id"), per_language, sizes[name]))
+    ids = docs.sparkSession.createDataFrame(known.filter(picked).select("doc_id").distinct().collect(), known.select("doc_id").schema)
     usable = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    rows = usable.join(F.broadcast(ids), "doc_id").collect()  # bounded: 2 * per_language rows of each language
+    rows = usable.join(F.broadcast(ids), "doc_id").collect()  # about 2 * per_language rows of each language
     samples = {name: [r["text"] for r in sorted((r for r in rows if r["lang"] == name), key=lambda r: (str(r["doc_id"]), r["text"]))[:per_language]] for name in names}
     return fit({k: v for k, v in samples.items() if v}, read_pieces(vocabulary))
 
