@@ -14,7 +14,7 @@ from folioforge.llm.shingles import mix64
 
 LENGTH, GRAM = 100, 24
 #: Bytes that are hashed at once. Longer texts are cut between windows.
-PIECE = 1 << 22
+PIECE = 1 << 21
 _PLACE_BITS = 26  # a place inside a piece; the rest of a sort key is hash
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -41,11 +41,11 @@ from folioforge.llm.shingles import mix64
 from folioforge.llm.util import bound_batches, materialize
 
 #: Text bytes whose blocks share a part of the shuffle, about.
-PART_BYTES = 16 << 20
+PART_BYTES = 12 << 20
 #: Different blocks with one anchor from which on its windows are dealt one by one.
 HOT = 512
 #: Bytes whose suffixes are sorted at once.
-GATHER_BYTES = 4 << 20
+GATHER_BYTES = 3 << 19
 
 _U64, _I64 = np.uint64, np.int64
 
