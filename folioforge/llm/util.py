@@ -44,8 +44,11 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def ascii_lower(col: Column) -> Column:
-    """Lower-case A-Z only."""
-    return F.translate(col, UPPER, LOWER)
+    """Lower-case A-Z only.
+
+    For ASCII texts that is what lower() does, several times as fast as translate().
+    """
+    return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
 def in_hash_sample(key: Column, wanted: int, total: int) -> Column:
