@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folioforge.llm import bpe, embed, exact, html_extract, langid, minhash, mixing, quality, suffix, warc
 
