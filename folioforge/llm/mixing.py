@@ -72,7 +72,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     bins = bins.withColumn("offset", F.coalesce(F.sum("bin_size").over(before), F.lit(0)))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    bins = bins.join(F.broadcast(targets), same(bins, targets)).drop(targets["source"])
+    bins = bins.join(targets, same(bins, targets)).drop(targets["source"])
     inside = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     r, b = placed.alias("r"), bins.alias("b")
