@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.similarity import character_error_rate, normalised_distance
+from folioforge.functions.similarity import character_error_rate, edit_distance, normalised_distance
 from folioforge.functions.text import trim_all, words
 from folioforge.operators.profiles import group_means
 
@@ -58,7 +58,7 @@ def bleu4(pairs: DataFrame, keys: tuple[str, ...] = ("doc_id", "tool"), longest:
 def score_texts(pairs: DataFrame, keys: tuple[str, ...] = ("doc_id", "tool")) -> DataFrame:
     """f1, cer, ned and bleu of each pair; the edit distance is computed once."""
     gt, pred = trim_all(F.col("gt")), trim_all(F.col("pred"))
-    rows = pairs.select(*keys, token_f1(F.col("gt"), F.col("pred")).alias("f1"), F.levenshtein(gt, pred).alias("d"), gt.alias("gt"), pred.alias("pred"))
+    rows = pairs.select(*keys, token_f1(F.col("gt"), F.col("pred")).alias("f1"), edit_distance(gt, pred).alias("d"), gt.alias("gt"), pred.alias("pred"))
     cer, ned = character_error_rate(F.col("d"), F.col("gt")), normalised_distance(F.col("d"), F.col("gt"), F.col("pred"))
     return rows.select(*keys, "f1", cer.alias("cer"), ned.alias("ned")).join(bleu4(pairs, keys), list(keys))
 

@@ -228,6 +228,19 @@ def tool_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TOOLS.replace("({references})", "{references}"), references=references(spark, sf_dir))
 
 
+#: The same of whole texts.
+WHOLE_REFERENCES = "select doc_id, regexp_replace(text, '[^ -~]', ' ') as gt from {documents}"
+
+
+def whole_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql(spark, sf_dir, WHOLE_REFERENCES, "documents")
+
+
+def whole_tool_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tool_texts from whole references."""
+    return spark.sql(TOOLS.replace("({references})", "{references}"), references=whole_references(spark, sf_dir))
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hashes of every fourth document, as if they were known before."""
     return documents(spark, sf_dir).filter("doc_id % 4 = 0").select("doc_id", F.sha2("text", 256).alias("content_hash"))

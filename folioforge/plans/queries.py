@@ -664,7 +664,7 @@ def t1_token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_D_SCORES} select doc_id, tool, cer, ned from f")
 def t2_t3_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = fx.tool_texts(spark, sf_dir).select("doc_id", "tool", F.trim("gt").alias("gt"), F.trim("pred").alias("pred")).withColumn("d", F.levenshtein("gt", "pred"))
+    d = fx.tool_texts(spark, sf_dir).select("doc_id", "tool", F.trim("gt").alias("gt"), F.trim("pred").alias("pred")).withColumn("d", sim.edit_distance("gt", "pred"))
     return d.select("doc_id", "tool", sim.character_error_rate(F.col("d"), F.col("gt")).alias("cer"), sim.normalised_distance(F.col("d"), F.col("gt"), F.col("pred")).alias("ned"))
 
 
@@ -707,6 +707,58 @@ def t9_metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_eval.metric_series(text_eval.summarise_tools(_scored(spark, sf_dir))).select("tool", "metric", F.round("value", 9).alias("value"))
 
 
+# The same on whole texts. Edit distances of whole texts take DuckDB too long, so those have no SQL.
+
+_D_WHOLE_TOOLS = fx.TOOLS.format(references=fx.WHOLE_REFERENCES.replace("' ')", "' ', 'g')").format(**_NAMES))
+_D_WHOLE_SCORES = _D_SCORES.replace(_D_TOOLS, _D_WHOLE_TOOLS)
+
+
+@query(f"with {_D_WHOLE_SCORES} select doc_id, tool, case when len(list_intersect(dg, dp)) > 0 then 2.0 * len(list_intersect(dg, dp)) / (len(dg) + len(dp)) else 0.0 end as f1 from (select doc_id, tool, list_distinct(g) as dg, list_distinct(p) as dp from w)")
+def t1_token_f1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.whole_tool_texts(spark, sf_dir).select("doc_id", "tool", text_eval.token_f1(F.col("gt"), F.col("pred")).alias("f1"))
+
+
+@query()
+def t2_t3_edit_distance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fx.whole_tool_texts(spark, sf_dir).select("doc_id", "tool", F.trim("gt").alias("gt"), F.trim("pred").alias("pred")).withColumn("d", sim.edit_distance("gt", "pred"))
+    return d.select("doc_id", "tool", sim.character_error_rate(F.col("d"), F.col("gt")).alias("cer"), sim.normalised_distance(F.col("d"), F.col("gt"), F.col("pred")).alias("ned"))
+
+
+@query(f"with {_D_WHOLE_SCORES}, {_D_BLEU} select * from bleu")
+def t4_bleu_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_eval.bleu4(fx.whole_tool_texts(spark, sf_dir))
+
+
+@query(f"with t as ({_D_WHOLE_TOOLS}) select doc_id, tool, length(pred) as pred_length, length(gt) as gt_length from t")
+def t5_pair_texts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fx.whole_tool_texts(spark, sf_dir).select("doc_id", "tool", "pred")
+    return text_eval.pair_texts(fx.whole_references(spark, sf_dir), found).select("doc_id", "tool", F.length("pred").alias("pred_length"), F.length("gt").alias("gt_length"))
+
+
+def _scored_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_eval.score_texts(fx.whole_tool_texts(spark, sf_dir))
+
+
+@query()
+def t6_score_texts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored_whole(spark, sf_dir)
+
+
+@query()
+def t7_summarise_tools_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_eval.summarise_tools(_scored_whole(spark, sf_dir)).select("tool", *[F.round(m, 9).alias(m) for m in text_eval.METRICS])
+
+
+@query()
+def t8_rank_tools_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_eval.rank_tools(text_eval.summarise_tools(_scored_whole(spark, sf_dir))).select("tool", "rank")
+
+
+@query()
+def t9_metric_series_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_eval.metric_series(text_eval.summarise_tools(_scored_whole(spark, sf_dir))).select("tool", "metric", F.round("value", 9).alias("value"))
+
+
 # Record fidelity
 
 

@@ -1,5 +1,7 @@
 """Hand-computed cases of the library's operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -175,6 +177,45 @@ def test_text_scores(spark):
     assert out[3].bleu == pytest.approx((2 / 3 * 0.1 / 2 * 0.1 / 1 * 0.1 / 1) ** 0.25)
 
 
+def test_edit_distance_of_long_texts(spark):
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdé \U0001f600") for _ in range(1500))
+    cases = [(text, text[:700] + text[790:1400] + "zz"), (text, text), ("", "ab"), ("ab", ""), ("", ""), ("kitten", "sitting")]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate([*cases, (None, "a")])], "i int, a string, b string")
+    got = [r.d for r in rows.select("i", sim.edit_distance("a", "b").alias("d")).orderBy("i").collect()]
+    assert got == [*(table(*c) for c in cases), None]
+
+
+def test_whole_texts_are_scored(spark):
+    """Beta's and gamma's texts differ from the reference far behind its 400th character."""
+    from folioforge.plans import fixtures, queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = {(r.doc_id, r.tool): r for r in fixtures.whole_tool_texts(spark, sf).collect()}
+    docs = {r.doc_id: r.text for r in fixtures.documents(spark, sf).collect()}
+    assert {i: len(t) for i, t in docs.items()} == {i: len(r.gt) for (i, tool), r in texts.items() if tool == "alpha"}
+    assert max(len(r.gt) for r in texts.values()) > 10_000
+    scores = {(r.doc_id, r.tool): r for r in queries.QUERIES["t6_score_texts_whole"](spark, sf).collect()}
+    assert scores.keys() == texts.keys()
+    for key, r in texts.items():
+        gt, pred = r.gt.strip(), r.pred.strip()
+        if key[1] == "gamma" and len(gt) > len(pred):  # a beginning of the reference
+            assert scores[key].cer == pytest.approx((len(gt) - len(pred)) / len(gt))
+        if key[1] == "beta" and "hh" not in r.gt:  # only deletions
+            assert scores[key].cer == pytest.approx(r.gt.count("th") / len(gt))
+        if key[1] == "alpha":
+            assert scores[key].f1 == pytest.approx(1.0) and scores[key].bleu == pytest.approx(1.0) or len(gt.split()) < 4
+    assert any("th" in r.gt[400:] and "th" not in r.gt[:400] and scores[k].cer > 0 for k, r in texts.items() if k[1] == "beta")
+
+
 def _pairs(spark, gt, pred):
     kind = StructType.fromDDL("cand_id string, model string, gt struct<education: array<struct<degree: string, institution: string>>>, pred struct<education: array<struct<degree: string, institution: string>>>")
     return spark.createDataFrame([("c", "m", (gt,), (pred,))], kind)
