@@ -278,6 +278,14 @@ def s2_decode_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", decode_lenient(F.concat(F.unhex(F.lit("FF")), F.col("text").cast("binary"))).alias("text"))
 
 
+@query("select doc_id, text from documents")
+def s2_decode_lenient_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every document."""
+    from folioforge.sources.files import decode_lenient
+
+    return fx.documents(spark, sf_dir).select("doc_id", decode_lenient(F.concat(F.unhex(F.lit("FF")), F.col("text").cast("binary"))).alias("text"))
+
+
 @query("select doc_id, text from documents")
 def s8_write_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written and read again."""

@@ -44,3 +44,13 @@ def test_second_run_of_the_same_input_adds_nothing(spark, tmp_path):
     spark.createDataFrame([(4, "b"), (5, "c")], "doc_id bigint, text string").write.mode("append").parquet(source)
     incremental_ingest(spark, source, registry, f"{tmp_path}/s1").awaitTermination()
     assert sorted(r.doc_id for r in files.read_registry(spark, registry).collect()) == ["1", "3", "5"]
+
+
+def test_every_document_is_decoded_and_paired(spark):
+    from folioforge.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r.doc_id: r.text for r in queries.QUERIES["s2_decode_lenient_whole"](spark, sf).collect()} == docs
+    paired = {(r.doc_id, r.tool) for r in queries.QUERIES["t5_pair_texts_whole"](spark, sf).collect()}
+    assert paired == {(i, t) for i in docs for t in ("alpha", "beta", "gamma") if t != "gamma" or i % 5}
