@@ -23,9 +23,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_exact_copies(docs)
 
 
-def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return minhash.drop_near_duplicates(docs)
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: int = minhash.THRESHOLD) -> DataFrame:
+    """One document of each group of near copies stays; ``threshold`` is the percentage of shared shingles."""
+    return minhash.drop_near_duplicates(docs, threshold=threshold)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,15 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+def run(spark: SparkSession, sf_dir: str, near: int = minhash.THRESHOLD) -> DataFrame:
+    """All stages over ``documents``, each written and read again; ``near`` is the threshold of the near stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for name, stage in STAGES[:-1]:
+        more = {"threshold": near} if name == "near" else {}
+        docs = materialize(stage(spark, docs, sf_dir, **more))
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def run_near80(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline with near copies from a Jaccard index of 0.80."""
+    return run(spark, sf_dir, near=80)

@@ -3,7 +3,8 @@
 A document's set holds its distinct 5-word shingles. Under each permutation both the minimum and
 the maximum are kept, so a signature takes half the hash evaluations; bands of six values put
 documents into buckets. With 28 bands a pair at the threshold (Jaccard 0.85) is missed with
-probability under 2e-6, a closer one far less often.
+probability under 2e-6, a closer one far less often. Lower thresholds take shorter bands
+(0.80: 33 bands of five values, about 2e-6).
 
 Links are confirmed on full sets, and no group is compared pair by pair:
 
@@ -32,7 +33,7 @@ from folioforge.llm import shingles as sh
 from folioforge.llm.components import components
 from folioforge.llm.util import map_batches, materialize, strings
 
-#: Percent: documents are linked if 100 * intersection >= THRESHOLD * union.
+#: Percent: documents are linked if 100 * intersection >= THRESHOLD * union, unless a caller gives another threshold.
 THRESHOLD = 85
 #: Pairs that are compared with one copy of their pivot's text, about.
 PIVOT_SHARE = 5000
@@ -41,8 +42,9 @@ CLASSES = 64
 _ORDERS = (11, 23)
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, print_a, print_b, bands): the fingerprint of the set and its band keys."""
+    shape = sh.bands_for(threshold)
 
     def make():
         sh.forget_others()
@@ -55,7 +57,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 a, b = sh.fingerprint(s) if len(s) else (0, 0)
                 first.append(a)
                 second.append(b)
-                bands.append(sh.band_keys(sh.signature(s)) if len(s) else None)
+                bands.append(sh.band_keys(sh.signature(s), *shape) if len(s) else None)
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "print_a", "print_b", "bands"],
@@ -107,7 +109,7 @@ def _class_counts(name: str) -> Column:
     return F.array(*[F.count_if(F.pmod("shingle", F.lit(CLASSES)) == k) for k in range(CLASSES)]).alias(name)
 
 
-def _shareable(texts: DataFrame, sizes: DataFrame) -> DataFrame:
+def _shareable(texts: DataFrame, sizes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n, counts): how many shingles, by class, a document may share with any other of ``texts``.
 
     Shingles fall into CLASSES classes by their last bits; those that no other document holds are
@@ -131,13 +133,13 @@ def _shareable(texts: DataFrame, sizes: DataFrame) -> DataFrame:
         left = F.when(F.col("own").isNull(), F.col("counts")).otherwise(F.zip_with("counts", "own", lambda x, y: x - y))
         alive = alive.select("doc_id").join(total, "doc_id").join(own, "doc_id", "left").select("doc_id", "n", left.alias("counts"))
         alive = alive.withColumn("most", F.aggregate("counts", F.lit(0).cast("bigint"), lambda x, y: x + y))
-        alive = materialize(alive.filter(100 * F.col("most") >= THRESHOLD * F.col("n")))
+        alive = materialize(alive.filter(100 * F.col("most") >= threshold * F.col("n")))
         rows = rows.join(alive.select("doc_id"), "doc_id", "left_semi")
     return alive
 
 
-def near_duplicate_links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links (a, b) between class representatives that join every component."""
+def near_duplicate_links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """Links (a, b) between class representatives that join every component; ``signed`` has the same threshold."""
     classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "print_a", "print_b").agg(F.min(F.struct("doc_id", "bands")).alias("x"))
     reps = materialize(classes.select("x.doc_id", F.col("n_shingles").alias("n"), "x.bands"))
 
@@ -152,7 +154,7 @@ def near_duplicate_links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_
     texts = materialize(texts.join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
     stars = [full.select(F.col("doc_id").alias("a"), F.col(f"p{s}").alias("b")) for s in _ORDERS]
-    links = confirm(stars[0].unionByName(stars[1]).filter("a <> b").distinct(), texts)
+    links = confirm(stars[0].unionByName(stars[1]).filter("a <> b").distinct(), texts, threshold)
     labels = components(links)
 
     places = full.select("key", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
@@ -160,20 +162,20 @@ def near_duplicate_links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_
     mixed = materialize(places.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"))
     places = materialize(places.join(mixed, "key", "left_semi"))
     left = materialize(places.select("doc_id").distinct())
-    bound = _shareable(texts.join(left, "doc_id", "left_semi"), reps.select("doc_id", "n").join(left, "doc_id", "left_semi"))
+    bound = _shareable(texts.join(left, "doc_id", "left_semi"), reps.select("doc_id", "n").join(left, "doc_id", "left_semi"), threshold)
     side = places.join(bound, "doc_id").join(reps.select("doc_id", "bands"), "doc_id")
     side = materialize(side)
-    return links.unionByName(confirm(_open_pairs(side), texts))
+    return links.unionByName(confirm(_open_pairs(side, threshold), texts, threshold))
 
 
-def _open_pairs(side: DataFrame) -> DataFrame:
+def _open_pairs(side: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs in one bucket and two components that the bounds leave; each from its first common bucket.
 
     A pair shares at most the smaller of its two totals, and at most the sum of the smaller counts
     of each class, which also sees most of what the two do not share.
     """
     x, y = side.alias("x"), side.alias("y")
-    reach = lambda most: 100 * most >= THRESHOLD * (F.col("x.n") + F.col("y.n") - most)
+    reach = lambda most: 100 * most >= threshold * (F.col("x.n") + F.col("y.n") - most)
     fits = reach(F.least(F.col("x.most"), F.col("y.most")))
     by_class = F.aggregate(F.zip_with("x.counts", "y.counts", lambda p, q: F.least(p, q)), F.lit(0).cast("bigint"), lambda p, q: p + q)
     here = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
@@ -181,10 +183,10 @@ def _open_pairs(side: DataFrame) -> DataFrame:
     return x.join(y, here & fits & first & reach(by_class)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
-    signed = materialize(signatures(docs, id_col, text_col))
-    labels = components(near_duplicate_links(docs, signed, id_col, text_col))
+    signed = materialize(signatures(docs, id_col, text_col, threshold))
+    labels = components(near_duplicate_links(docs, signed, id_col, text_col, threshold))
     key = ["n_shingles", "print_a", "print_b"]
     filled = signed.filter("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("node"))
     classes = materialize(filled.join(labels, "node", "left").select(*key, F.coalesce("component", "node").alias("component")))
@@ -194,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each component; columns stay as they are."""
-    gone = near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone"))
+    gone = near_duplicates(docs, id_col, text_col, threshold).filter("not kept").select(F.col(id_col).alias("_gone"))
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

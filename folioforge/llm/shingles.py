@@ -12,6 +12,8 @@ WIDTH = 5
 #: Bands of a signature, values in a band. Each permutation gives two values, its minimum and its maximum.
 BANDS, ROWS = 28, 6
 PERMUTATIONS = BANDS * ROWS // 2
+#: A pair at the threshold shares no band with this probability at most.
+MISSED = 2.1e-6
 MEMO_WORDS = 150_000
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -77,10 +79,19 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate([low, high])
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
+def bands_for(threshold: int) -> tuple[int, int]:
+    """Bands and values in a band for a threshold in percent: the longest bands that miss no more than MISSED."""
+    for rows in range(ROWS, 1, -1):
+        bands = 2 * PERMUTATIONS // rows
+        if (1 - (threshold / 100) ** rows) ** bands <= MISSED:
+            return bands, rows
+    return 2 * PERMUTATIONS, 1
+
+
+def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key for each band; the band's number is part of it."""
-    rows = sig.reshape(ROWS, BANDS).astype(np.uint64)  # a band never has both values of a permutation
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    rows = sig[: bands * rows].reshape(rows, bands).astype(np.uint64)  # a band never has both values of a permutation
+    key = np.arange(1, bands + 1, dtype=np.uint64)
     for r in rows:
         key = mix64(key * _STEP + r)
     return key.view(np.int64)

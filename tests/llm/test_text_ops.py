@@ -122,6 +122,25 @@ def test_near_duplicates(spark, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+def test_pairs_between_the_thresholds(spark):
+    """Jaccard 156 / 192 = 0.8125: near copies at 80 percent, not at op5's 85."""
+    import corpus_pipeline
+
+    rows = []
+    for k in range(40):
+        words = [f"w{k}_{i}" for i in range(178)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:160], *(f"v{k}_{i}" for i in range(18))]))]
+    shared, union = len(sets(rows[0][1]) & sets(rows[1][1])), len(sets(rows[0][1]) | sets(rows[1][1]))
+    assert 80 * union <= 100 * shared < 85 * union
+    docs = table(spark, rows)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "", threshold=80).collect()) == list(range(0, 80, 2))
+    assert all(r.kept for r in minhash.near_duplicates(docs).collect())
+
+
+def test_bands_for_a_threshold():
+    assert shingles.bands_for(85) == (shingles.BANDS, shingles.ROWS) and shingles.bands_for(80) == (33, 5)
+
+
 def test_near_duplicates_along_a_chain(spark):
     """Neighbours in a chain are linked, its ends are not."""
     base = [f"w{i}" for i in range(300)]
