@@ -11,10 +11,16 @@ away, so the vectors of a ball are all linked with each other. Keys then yield p
 pair is kept if the angle of its centres and the radii allow a link, and only then the vectors of
 the two balls are compared, block by block, which gives counts per vector.
 
+The index is laid out for the vectors at hand: keys hold more rotations where there are more
+vectors, fewer where vectors are longer, and there are as many tables as recall asks for at the
+threshold; that is measured on random pairs before the index is built (see :func:`layout`).
+
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, and
-rows without vec_id, have no links. Vectors of different lengths are never linked. vec_id is a
-key; rows that repeat a vec_id and its vector count once more each. An empty table gives an empty
-table. Extra columns, labels among them, are ignored.
+rows without vec_id, have no links. All finite vectors count, however large or small their
+components are: they are scaled by their largest component before their length is taken. Vectors
+of different lengths are never linked. vec_id is a key; rows that repeat a vec_id and its vector
+count once more each. An empty table gives an empty table. Extra columns, labels among them, are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,26 +37,59 @@ from folioforge.llm.components import components
 from folioforge.llm.util import materialize
 
 THRESHOLD = 0.9
-#: Tables, and rotations in a key for a given number of vectors: about 8 keys for each vector.
-TABLES = 14
+#: Keys for each vector, about: keys get longer until there are so many.
 KEYS_PER_VECTOR = 8
 AXES = 2
+#: Keys of more rotations would be looked up under too many neighbours; they are enough for 4e9 vectors of 64 components.
+MOST_ROTATIONS = 5
+#: At least so many tables, and more until pairs at the threshold are missed by fewer than MISSED.
+TABLES, MISSED = 14, 0.005
+#: Random pairs, and tables for each of them, on which the misses of one table are measured.
+TRIAL_PAIRS, TRIAL_TABLES = 400, 6
 #: Vectors of a ball that are compared at once.
 BLOCK = 512
-#: Components beyond this would overflow when squared; such vectors count as non-finite.
-LARGEST = 1e150
 _SAFE = 1e-9
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def rotations_for(n: int, dims: int = 64) -> int:
+def padded(dims: int) -> int:
+    """The power of two to which vectors are filled up with zeros."""
+    return 1 << max(1, (dims - 1).bit_length())
+
+
+def rotations_for(n: int, dims: int) -> int:
     """Rotations in a key: as many as give KEYS_PER_VECTOR keys for each of ``n`` vectors."""
     k = 2
-    while (2 * dims) ** k < KEYS_PER_VECTOR * n:
+    while (2 * padded(dims)) ** k < KEYS_PER_VECTOR * n and k < MOST_ROTATIONS:
         k += 1
     return k
 
 
+def random_pairs(n: int, dims: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` pairs of unit vectors with the given cosine."""
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(2, n, dims))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    return a, cosine * a + np.sqrt(1 - cosine * cosine) * b / np.linalg.norm(b, axis=1)[:, None]
+
+
+def hits(a: np.ndarray, b: np.ndarray, rotations: int, tables: int) -> np.ndarray:
+    """Whether the pair a[i], b[i] meets in each of the tables: one's stored key is among those the other looks up."""
+    (own_a, ask_a), (own_b, ask_b) = keys(a, rotations, tables), keys(b, rotations, tables)
+    ask_a, ask_b = (x.reshape(len(a), tables, -1) for x in (ask_a, ask_b))
+    return (own_a[:, :, None] == ask_b).any(2) | (own_b[:, :, None] == ask_a).any(2)
+
+
+def layout(n: int, dims: int, threshold: float) -> tuple[int, int]:
+    """(rotations in a key, tables) of the index of ``n`` vectors of ``dims`` components."""
+    size = padded(dims)
+    rotations = rotations_for(n, dims)
+    hit = float(hits(*random_pairs(TRIAL_PAIRS, size, threshold), rotations, TRIAL_TABLES).mean())
+    hit = min(max(hit, 0.01), 0.99)
+    return rotations, max(TABLES, int(np.ceil(np.log(MISSED) / np.log(1 - hit))))
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """The fast Walsh-Hadamard transform of each row, scaled to keep lengths."""
     n, d = x.shape
@@ -69,17 +108,16 @@ def rotate(x: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
-def keys(unit: np.ndarray, rotations: int, tables: int = TABLES) -> tuple[np.ndarray, np.ndarray]:
+def keys(unit: np.ndarray, rotations: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
     """(stored, looked up): one key in each table, and AXES ** rotations keys in each table."""
     n, d = unit.shape
-    size = 1 << max(1, (d - 1).bit_length())
-    padded = np.zeros((n, size))
-    padded[:, :d] = unit
+    filled = np.zeros((n, padded(d)))
+    filled[:, :d] = unit
     own, probes = np.empty((n, tables), np.uint64), []
     for t in range(tables):
         combos = np.full((n, 1), t * 4096 + d, np.uint64)
         for r in range(rotations):
-            y = rotate(padded, 1000 * t + r)
+            y = rotate(filled, 1000 * t + r)
             axis = np.argsort(-np.abs(y), axis=1)[:, :AXES]
             code = (2 * axis + (np.take_along_axis(y, axis, 1) < 0)).astype(np.uint64) + np.uint64(1)
             combos = ((combos[:, :, None] * _MIX) ^ (code[:, None, :] * np.uint64(0xD6E8FEB86659FD93))).reshape(n, -1)
@@ -91,18 +129,19 @@ def keys(unit: np.ndarray, rotations: int, tables: int = TABLES) -> tuple[np.nda
 
 def _unit(vectors: list) -> np.ndarray:
     x = np.array(vectors, dtype=np.float64)
+    x = x / np.abs(x).max(axis=1)[:, None]  # neither overflow nor underflow when squared
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v): the rows that can be linked, in double precision."""
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    sound = F.forall("v", lambda c: c.isNotNull() & (F.abs(c) < F.lit(LARGEST)))  # NaN is above every number
+    sound = F.forall("v", lambda c: c.isNotNull() & (F.abs(c) < F.lit(float("inf"))))  # NaN is above every number
     return rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(F.coalesce(sound, F.lit(False))).filter(F.exists("v", lambda c: c != 0))
 
 
-def index(classes: DataFrame, rotations: int) -> DataFrame:
-    """(rep, copies, unit, own, probes) for each class of identical vectors."""
+def index(classes: DataFrame, layouts: dict[int, tuple[int, int]]) -> DataFrame:
+    """(rep, copies, unit, own, probes) for each class of identical vectors; ``layouts`` by padded length."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +150,7 @@ def index(classes: DataFrame, rotations: int) -> DataFrame:
             for d in {len(x) for x in rows}:
                 at = [i for i, x in enumerate(rows) if len(x) == d]
                 unit = _unit([rows[i] for i in at])
-                own, probes = keys(unit, rotations)
+                own, probes = keys(unit, *layouts[padded(d)])
                 for j, i in enumerate(at):
                     out[0][i], out[1][i], out[2][i] = unit[j].tobytes(), own[j], probes[j]
             lists = pa.list_(pa.int64())
@@ -129,7 +168,12 @@ def with_cosines(pairs: DataFrame, units: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            cos = [float(np.frombuffer(x) @ np.frombuffer(y)) if len(x) == len(y) else -1.0 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            cos = np.full(len(x), -1.0)
+            for n in {len(v) for v in x}:
+                at = [i for i, (v, w) in enumerate(zip(x, y, strict=True)) if len(v) == len(w) == n]
+                u, w = (np.frombuffer(b"".join(z[i] for i in at)).reshape(len(at), -1) for z in (x, y))
+                cos[at] = np.einsum("ij,ij->i", u, w)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cos, pa.float64())], names=["a", "b", "cosine"])
 
     return rows.mapInArrow(run, "a bigint, b bigint, cosine double")
@@ -193,7 +237,9 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """One row per vector: vec_id, n_links, component_id (smallest vec_id reachable), kept."""
     rows = usable(vectors, id_col, vec_col)
     classes = materialize(rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    signed = materialize(index(classes, rotations_for(classes.count())))
+    power = F.length(F.bin(F.size("v") - 1))  # at most a few dozen of them
+    sizes = {1 << r["power"]: r["count"] for r in classes.groupBy(power.alias("power")).count().collect()}
+    signed = materialize(index(classes, {d: layout(n, d, threshold) for d, n in sizes.items()}))
     homes = balls(signed, threshold)
     cross, linked = cross_links(signed, homes, threshold)
 

@@ -175,17 +175,23 @@ def test_embedding_links(spark):
     assert embed.embedding_links(vectors.filter("false")).count() == 0
 
 
-def test_recall_of_the_index_at_the_threshold():
-    """Pairs whose cosine is just at the threshold share a key, stored or looked up, nine times out of ten at least."""
-    rng = np.random.default_rng(2)
-    a, b = rng.normal(size=(2, 2000, 64))
+@pytest.mark.parametrize("dims, vectors", [(64, 500), (64, 50_000), (64, 10**7), (64, 10**9), (256, 10**6), (768, 10**8)])
+def test_recall_of_the_index_at_the_threshold(dims, vectors):
+    """Pairs whose cosine is just at the threshold share a key, stored or looked up, in any size of table."""
+    rotations, tables = embed.layout(vectors, dims, 0.9)
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(2, 300, dims))
     a /= np.linalg.norm(a, axis=1)[:, None]
     b -= (a * b).sum(1)[:, None] * a
     b = 0.9 * a + math.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1)[:, None]
-    for rotations in (2, 3):
-        (own_a, ask_a), (own_b, ask_b) = embed.keys(a, rotations), embed.keys(b, rotations)
-        hit = [bool(np.intersect1d(x, q).size or np.intersect1d(p, y).size) for x, y, p, q in zip(own_a, own_b, ask_a, ask_b, strict=True)]
-        assert np.mean(hit) > 0.97
+    assert embed.hits(a, b, rotations, tables).any(1).mean() > 0.97
+
+
+def test_links_of_huge_and_tiny_vectors(spark):
+    """Lengths that overflow or underflow when squared; [1, 0] and [0, 1e-200] are at a right angle."""
+    rows = [(1, [1e160, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1e-200]), (4, [-1e-200, 0.0]), (5, [1e-200, 1e-200]), (6, [3e-310, 3e-310]), (7, [1.7e308, 1.7e308]), (8, [1e-320, 1e308])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed.embedding_links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (0, 4), 5: (2, 5), 6: (2, 5), 7: (2, 5), 8: (1, 3)}
 
 
 def test_pipeline_against_brute_force(spark):
