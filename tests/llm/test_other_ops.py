@@ -76,10 +76,37 @@ def test_forward_algorithm_sums_all_segmentations():
             return [()]
         return [(word[:i], *rest) for i in range(1, len(word) + 1) if word[:i] in table or i == 1 for rest in every(word[i:])]
 
-    for word in ("▁ab", "▁abab", "▁aqb"):
-        want = [math.log(sum(math.prod(table[p][k] if p in table else langid.UNKNOWN for p in s) for s in every(word))) for k in (0, 1)]
+    weight = lambda s, k: math.prod(table[p][k] if p in table else langid.UNKNOWN for p in s)
+    for word in ("▁ab", "▁abab", "▁aqb", "▁abaabbababab"):
+        want = [math.log(sum(weight(s, k) for s in every(word))) for k in (0, 1)]
         assert model.log_probabilities([word])[0] == pytest.approx(want)
-        assert langid._expected({word: 2}, {k: v[0] for k, v in table.items()}).total() > 0
+        use = dict.fromkeys(table, 0.0)
+        for s in every(word):
+            for p in s:
+                if p in use:
+                    use[p] += 2 * weight(s, 0) / math.exp(want[0])
+        got = langid._expected(model.vocabulary, [word], np.array([2.0]), model.p[:, 0])
+        assert dict(zip(table, got, strict=True)) == pytest.approx(use)
+
+
+def test_words_of_any_length():
+    """No cut: the sum over a word of 200 or 5,000 letters in numbers without underflow, and its share in learning."""
+    from decimal import Decimal
+
+    table = {"▁a": (0.3, 0.1), "a": (0.2, 0.3), "b": (0.1, 0.2), "ab": (0.05, 0.1), "babababab": (0.01, 0.02)}
+    model = langid.Model(["x", "y"], table)
+    for n in (200, 5000):
+        word = "▁" + "ab" * (n // 2)
+        for k in (0, 1):
+            ahead = [Decimal(1)]
+            for j in range(1, len(word) + 1):
+                known = sum(ahead[j - len(p)] * Decimal(q[k]) for p, q in table.items() if word[max(0, j - len(p)) : j] == p)
+                ahead.append(known + (ahead[j - 1] * Decimal(langid.UNKNOWN) if word[j - 1] not in table else 0))
+            assert model.log_probabilities([word])[0][k] == pytest.approx(float(ahead[-1].ln()))
+        use = langid._expected(model.vocabulary, [word], np.array([1.0]), model.p[:, 0])
+        assert sum(u * len(p) for u, p in zip(use, table, strict=True)) == pytest.approx(n, abs=2)
+    wide = langid.fit({"l": ["x" * 300 + " " + "y" * 300], "m": ["z" * 300]}, ["x", "y", "z", "xxxx", "zzzz"])
+    assert wide.table["x"][0] + wide.table["xxxx"][0] > 0.2 and wide.predict(["z" * 1000, "x" * 1000]) == [("m", pytest.approx(1.0)), ("l", pytest.approx(1.0))]
 
 
 def test_languages_of_held_out_documents(spark):
