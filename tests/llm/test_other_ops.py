@@ -67,6 +67,50 @@ def test_very_long_pages():
     assert html_extract.main_text(html, html_extract.START).count("\n\n") == 19_999
 
 
+ARTICLE = "<h1>The river in spring</h1><p>After the long winter the river rises again, and the fields beside it turn green within a week.</p><p>People walk along the dam, look at the water, and talk about the floods of other years.</p>"
+READ = ["The river in spring", "After the long winter the river rises again, and the fields beside it turn green within a week.", "People walk along the dam, look at the water, and talk about the floods of other years."]
+MENU = '<nav><a href="/a">Home</a> <a href="/b">News</a></nav>'
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f'<body>{MENU}<div class="site has-sidebar">{ARTICLE}</div><footer>Imprint</footer>',
+        f'<body>{MENU}<div class="layout no-header">{ARTICLE}</div><footer>Imprint</footer>',
+        f'<body>{MENU}<div class="post social-share">{ARTICLE}</div><footer>Imprint</footer>',
+        f'<body>{MENU}<article class="post comment-open">{ARTICLE}</article><footer>Imprint</footer>',
+        f'<body>{MENU}<article>{ARTICLE.replace("<h1>", chr(60) + "div class=article-header><h1>").replace("</h1>", "</h1></div>")}</article>',
+        f'<body>{MENU}<div class="content">{ARTICLE.replace("<h1>", chr(60) + "div class=article-header><h1>").replace("</h1>", "</h1></div>")}</div>',
+        f'<body>{MENU}<article><header class="header"><h1>{READ[0]}</h1></header>{ARTICLE[ARTICLE.index("<p>"):]}</article>',
+        f'<body><form id="aspnetForm">{MENU}<div id="x">{ARTICLE}</div><div class="footer">Imprint</div></form>',
+        f'<body>{MENU}<div class="widget-wrap"><article>{ARTICLE}</article></div>',
+        f'<body><nav><a href="/a">Home</a><div>{ARTICLE}</div>',
+        f'<body>{MENU}<article>{ARTICLE}<div class="comments"><div class="comment"><p>What a lovely text about the river, I live there and it is true, every word.</p></div></div></article>',
+        f'<body>{MENU}<div class="post">{ARTICLE}</div><section id="comments"><article class="comment"><p>What a lovely text about the river, I live there and it is true, every word.</p></article></section>',
+        f'<body>{MENU}<div class="ad">Buy the best boats here, now with oars.</div><main>{ARTICLE}<aside><p>More about rivers, dams and floods in our archive of the region.</p></aside></main>',
+    ],
+)
+def test_ordinary_names_do_not_decide(html):
+    assert html_extract.main_text(html, html_extract.START).split("\n\n") == READ
+
+
+def test_broken_quotes():
+    text = lambda html: html_extract.main_text(f"<article>{html}</article>", html_extract.START)
+    assert text('<p title="a>Hello there, reader of this page.</p><p>World of words, and more.</p>') == "Hello there, reader of this page.\n\nWorld of words, and more."
+    assert text('<p title="a>Hello there.</p><p class="x">World of "quoted" words.</p>') == 'Hello there.\n\nWorld of "quoted" words.'
+    assert text("""<p title="a > b" data-x='<b>y</b>'>Hello there, 1 < 2.</p>""") == "Hello there, 1 < 2."
+    assert text("<p>unclosed <b") == "unclosed" and text("<p>a <!-- never closed <p>b") == "a"
+
+
+@pytest.mark.parametrize("part", ["<div>word word word. ", '<p title="a>word word word. ', "<p title='>word. ", "<b><p>word. ", "</span>word <i>", "<!x <?y ", '<a href="x>', "<li><dd>word "])
+def test_time_grows_with_the_length_of_broken_pages(part):
+    import time
+
+    began = time.perf_counter()
+    html_extract.main_text("<article>" + part * 20_000, html_extract.START)
+    assert time.perf_counter() - began < 10
+
+
 def test_forward_algorithm_sums_all_segmentations():
     table = {"▁a": (0.3, 0.1), "a": (0.2, 0.3), "b": (0.1, 0.2), "ab": (0.05, 0.1), "▁ab": (0.01, 0.02), "▁": (0.04, 0.01)}
     model = langid.Model(["x", "y"], table)
