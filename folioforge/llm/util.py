@@ -23,14 +23,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: the session's checkpoint folder.
 
-    A temporary folder is set only where the session names none (tests, single machine).
+    A temporary folder is set only where the session names none and runs on a single machine.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioforge-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="folioforge-"))
     return sc.getCheckpointDir()
 
 
+#: Folders of scratch tables that this process wrote and did not remove.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -39,10 +46,25 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """The scratch tables that are still there."""
+    return list(_written)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove scratch tables from the shared folder. Nothing that is still to be read may depend on them."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        if path in _written:
+            _written.remove(path)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only.
 
@@ -63,13 +85,13 @@ def in_hash_sample(key: Column, wanted: int, total: int) -> Column:
 
 class Memo(dict):
     """A memo table of bounded size for ``fn``: two generations, the older one is dropped when
-    the newer one is full, so frequent keys stay."""
+    the newer one is full, so frequent keys stay. Strings of over ``longest`` characters are not kept."""
 
     _all: weakref.WeakSet = weakref.WeakSet()
 
-    def __init__(self, fn: Callable, limit: int) -> None:
+    def __init__(self, fn: Callable, limit: int, longest: int = 64) -> None:
         super().__init__()
-        self.fn, self.limit, self.old = fn, limit, {}
+        self.fn, self.limit, self.longest, self.old = fn, limit, longest, {}
         Memo._all.add(self)
 
     __hash__ = object.__hash__
@@ -83,6 +105,8 @@ class Memo(dict):
                 other.old = {}
 
     def __missing__(self, key):
+        if not isinstance(key, int) and len(key) > self.longest:
+            return self.fn(key)
         value = self.old.get(key)
         if value is None:
             value = self.fn(key)

@@ -68,17 +68,17 @@ def lower(text):
 
 @pytest.mark.parametrize("chars", [4, 8192])
 def test_exact_groups(spark, chars):
-    rows = noisy(1) + [(100 + i, t) for i, t in ODD]
+    rows = noisy(1) + [(100 + i, t) for i, t in ODD] + [(106, "X" * 30_000), (200, "q" * 30_000), (200, "q" * 30_000)]
     want = {}
-    for i, t in set(rows):
+    for i, t in rows:
         want.setdefault(lower(t), []).append(i)
+    digest = lambda t: hashlib.sha256(lower(t).encode()).hexdigest()
+    group = {digest(t): ids for t, ids in want.items()}
     out = exact.exact_groups(table(spark, rows), block_chars=chars).collect()
-    assert len(out) == len(set(rows))
-    text = dict(rows)
+    assert sorted((r.doc_id, r.text_sha256) for r in out) == sorted((i, digest(t)) for i, t in rows)
     for r in out:
-        group = want[lower(text[r.doc_id])]
-        assert (r.keep_id, r.group_size, r.kept) == (max(group), len(group), r.doc_id == max(group))
-        assert r.text_sha256 == hashlib.sha256(lower(text[r.doc_id]).encode()).hexdigest()
+        ids = group[r.text_sha256]
+        assert (r.keep_id, r.group_size, r.kept) == (max(ids), len(ids), r.doc_id == max(ids))
 
 
 def test_exact_copies_of_a_hot_text(spark):
@@ -89,6 +89,24 @@ def test_exact_copies_of_a_hot_text(spark):
     assert left.count() == 301 and left.columns == table(spark, rows).columns
 
 
+def test_blocks_whose_hashes_collide(spark, monkeypatch):
+    monkeypatch.setattr(exact.F, "xxhash64", lambda c: F.length(c).cast("bigint"))
+    rows = noisy(1)
+    want = {}
+    for i, t in rows:
+        want.setdefault(lower(t), []).append(i)
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in exact.exact_groups(table(spark, rows)).collect()} == {(i, max(ids), len(ids)) for ids in want.values() for i in ids}
+
+
+def test_exact_copies_under_one_id(spark):
+    rows = [(1, "A"), (1, "unique"), (2, "a"), (3, None), (4, ""), (5, "same"), (5, "same"), (None, "lone"), (None, "Same")]
+    docs = table(spark, rows).withColumns({"id": F.lit(1), "row": F.lit(2), "own": F.lit(3), "digest": F.lit(4)})
+    left = exact.drop_exact_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in left.filter("doc_id is not null").collect()) == [(1, "unique"), (2, "a"), (4, ""), (5, "same"), (5, "same")]
+    assert [r.text for r in left.filter("doc_id is null").collect()] == ["lone"] and exact.drop_exact_copies(docs.filter("false")).count() == 0
+
+
 def sets(text):
     words = (text or "").encode().lower().split()
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
