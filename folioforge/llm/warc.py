@@ -13,8 +13,9 @@ Records with equal payloads are stored once: the one with the smallest page_id i
 others are revisits that refer to it.
 
 Defined results: null html is an empty payload; a null url leaves the target out; a null page_id
-counts as the smallest; rows that repeat a page_id and its payload are written each and have the
-same type; an empty table gives no archives and an empty result. Extra columns are ignored.
+counts as the smallest, so its record is the response, and revisits of it refer to no page; rows
+that repeat a page_id and its payload are written each and have the same type; an empty table
+gives no archives and an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.util import bound_batches, materialize, scratch_dir
 
-#: Payload bytes of one archive, about.
-ARCHIVE_BYTES = 16 << 20
+#: Payload bytes of one archive, about; archives get larger where there would be more than MOST_ARCHIVES.
+ARCHIVE_BYTES, MOST_ARCHIVES = 16 << 20, 100_000
+#: Rows of one file, its dictionary among them: many rows of one page fill several files.
+FILE_ROWS = 20_000
 #: The dictionary is trained on the first records of its archive, up to this many and this many bytes.
 TRAIN_RECORDS, TRAIN_BYTES, DICTIONARY_BYTES = 400, 2 << 20, 32 << 10
 #: Payloads of fewer bytes are never revisits.
@@ -57,13 +60,13 @@ def sha1_base32(data: Column) -> Column:
 
 
 def plan_records(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
-    """(page_id, payload_digest, payload_bytes, refers_to): refers_to is null for responses."""
+    """(page_id, payload_digest, payload_bytes, revisit, refers_to) of each distinct page_id and payload."""
     body = F.coalesce("html", F.lit("")).cast("binary")
     ids = materialize(pages.select("page_id", sha1_base32(body).alias("payload_digest"), F.octet_length(body).cast("bigint").alias("payload_bytes")).distinct())
     key = ["payload_digest", "payload_bytes"]
     first = materialize(ids.groupBy(*key).agg(F.min_by("page_id", F.struct(F.col("page_id").isNotNull(), "page_id")).alias("first_id")))
     again = (F.col("payload_bytes") >= least_revisit) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return ids.join(first, key).select("page_id", *key, F.when(again, F.col("first_id")).alias("refers_to"))
+    return ids.join(first, key).select("page_id", *key, again.alias("revisit"), F.when(again, F.col("first_id")).alias("refers_to"))
 
 
 def _record_id(page_id: object, digest: str) -> str:
@@ -74,19 +77,21 @@ def _line(value: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def build_record(page_id: int | None, url: str | None, html: str | None, digest: str, size: int, refers_to: int | None) -> bytes:
+def build_record(page_id: int | None, url: str | None, html: str | None, digest: str, size: int, revisit: bool, refers_to: int | None) -> bytes:
     """A WARC/1.1 record; a revisit has no payload."""
     payload = (html or "").encode("utf-8")
-    fields = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_record_id(page_id, digest)}", f"WARC-Date: {RECORD_DATE}"]
+    fields = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, digest)}", f"WARC-Date: {RECORD_DATE}"]
     if url is not None:
         fields.append(f"WARC-Target-URI: {_line(url)}")
     fields.append(f"WARC-Payload-Digest: sha1:{digest}")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    if refers_to is None:
+    if not revisit:
         block = http + payload
     else:
         block = http
-        fields += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
+        fields += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, digest)}"]
+        if refers_to is not None:
+            fields.append(f"X-Refers-To-Page: {refers_to}")
     if page_id is not None:
         fields.append(f"X-Page: {page_id}")
     fields += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
@@ -125,22 +130,33 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(raw)
 
 
-def archive_rows(records: Iterable[bytes]) -> Iterator[bytes]:
-    """The frames of one archive; each is to be followed by a line feed."""
+def archive_rows(records: Iterable[bytes], file_rows: int = FILE_ROWS) -> Iterator[bytes]:
+    """The frames of one archive; each is to be followed by a line feed.
+
+    After every ``file_rows`` of them a new file starts, with the same dictionary.
+    """
     tail = struct.pack("<II", SKIPPABLE_FIRST, 1)
-    compress, held, size = None, [], 0
+    compress, held, size, rows, head = None, [], 0, 0, b""
+
+    def framed(record: bytes) -> Iterator[bytes]:
+        nonlocal rows
+        if rows % file_rows == 0:
+            rows += 1
+            yield head
+        rows += 1
+        yield compress(record) + tail
 
     def start() -> Iterator[bytes]:
-        nonlocal compress
+        nonlocal compress, head
         raw = train_dictionary(held)
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw)).compress
-        yield struct.pack("<II", SKIPPABLE_DICTIONARY, len(raw)) + raw + tail
+        head = struct.pack("<II", SKIPPABLE_DICTIONARY, len(raw)) + raw + tail
         for x in held:
-            yield compress(x) + tail
+            yield from framed(x)
 
     for record in records:
         if compress:
-            yield compress(record) + tail
+            yield from framed(record)
             continue
         held.append(record)
         size += len(record)
@@ -183,11 +199,11 @@ def read_archive(content: bytes) -> Iterator[bytes]:
             raise ValueError(f"no Zstandard frame at byte {at}")
 
 
-def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES, file_rows: int = FILE_ROWS) -> None:
     """Write a record for each row of ``pages`` (page_id, url, html) to archives in the folder ``path``."""
     plan = materialize(plan_records(pages, least_revisit))
     total = plan.agg(F.sum("payload_bytes")).first()[0] or 0
-    n = max(1, -(-total // archive_bytes))
+    n = max(1, min(MOST_ARCHIVES, -(-total // archive_bytes)))
     body = F.coalesce("html", F.lit("")).cast("binary")
     key = F.xxhash64("page_id", "payload_digest")
     rows = pages.select("page_id", "url", "html").withColumn("payload_digest", sha1_base32(body)).withColumn("key", key)
@@ -196,7 +212,7 @@ def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVIS
     # written as ranges, the other two conditions do not become join keys, which would ask for a shuffle by all three
     same = [F.col("r.key") == F.col("p.key"), F.col("r.payload_digest").between(F.col("p.payload_digest"), F.col("p.payload_digest"))]
     same.append(F.coalesce("r.page_id", F.lit(-1)).between(F.coalesce("p.page_id", F.lit(-1)), F.coalesce("p.page_id", F.lit(-1))))
-    joined = left.join(right, same).select("r.page_id", "url", "html", "p.payload_digest", "payload_bytes", "refers_to")
+    joined = left.join(right, same).select("r.page_id", "url", "html", "p.payload_digest", "payload_bytes", "revisit", "refers_to")
 
     bound_batches(pages.sparkSession)
 
@@ -206,11 +222,12 @@ def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVIS
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     yield build_record(*row)
 
-        for frames in archive_rows(records()):
+        for frames in archive_rows(records(), file_rows):
             yield pa.RecordBatch.from_arrays([pa.array([frames], pa.binary())], names=["frames"])
 
     frames = joined.mapInArrow(run, "frames binary")
-    frames.select(F.col("frames").cast("string")).write.text(path, lineSep="\n")
+    # the writer's own options, whatever the session says: files of file_rows rows, not compressed once more
+    frames.select(F.col("frames").cast("string")).write.option("maxRecordsPerFile", file_rows).option("compression", "none").text(path, lineSep="\n")
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
