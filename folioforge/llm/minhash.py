@@ -35,15 +35,15 @@ from folioforge.llm.util import map_batches, materialize, strings
 
 #: Percent: documents are linked if 100 * intersection >= THRESHOLD * union, unless a caller gives another threshold.
 THRESHOLD = 85
-#: Pairs that are compared with one copy of their pivot's text, about.
-PIVOT_SHARE = 5000
+#: Partners of a pivot that are compared with one copy of its text, about.
+PIVOT_SHARE = 256
 #: Classes of shingles by which the size of an intersection is bounded.
 CLASSES = 64
 _ORDERS = (11, 23)
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, print_a, print_b, bands): the fingerprint of the set and its band keys."""
+    """(doc_id, text_key, n_shingles, print_a, print_b, bands): a hash of the text, the fingerprint of its set and its band keys."""
     shape = sh.bands_for(threshold)
 
     def make():
@@ -51,7 +51,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             size, first, second, bands = [], [], [], []
-            for text in strings(batch.column(1)):
+            for text in strings(batch.column(2)):
                 s = sh.shingle_set(text)
                 size.append(len(s))
                 a, b = sh.fingerprint(s) if len(s) else (0, 0)
@@ -59,13 +59,14 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 second.append(b)
                 bands.append(sh.band_keys(sh.signature(s), *shape) if len(s) else None)
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "print_a", "print_b", "bands"],
+                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "n_shingles", "print_a", "print_b", "bands"],
             )
 
         return run
 
-    return map_batches(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col)), make, "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint, bands array<bigint>")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col))
+    return map_batches(rows, make, "doc_id bigint, text_key bigint, n_shingles bigint, print_a bigint, print_b bigint, bands array<bigint>")
 
 
 def _first(seed: int) -> Column:
@@ -80,8 +81,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD) -> D
     of which reads one copy of b's text and then one partner after the other.
     """
     pairs = materialize(pairs)
-    parts = max(1, pairs.count() // PIVOT_SHARE)
-    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("a", F.lit(7)), F.lit(parts)))
+    hot = materialize(pairs.groupBy("b").count().filter(F.col("count") > PIVOT_SHARE).select("b", F.expr(f"count div {PIVOT_SHARE} + 1").alias("parts")))
+    dealt = materialize(pairs.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a", F.lit(7)), F.coalesce("parts", F.lit(1))).alias("part")))
     partners = dealt.join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "part", "a", "text")
     pivots = dealt.select("b", "part").distinct().join(texts.withColumnRenamed("doc_id", "b"), "b").select("b", "part", F.lit(None).cast("bigint").alias("a"), "text")
     rows = partners.unionByName(pivots).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
@@ -183,20 +184,33 @@ def _open_pairs(side: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return x.join(y, here & fits & first & reach(by_class)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, kept) for each row of ``docs``."""
     signed = materialize(signatures(docs, id_col, text_col, threshold))
     labels = components(near_duplicate_links(docs, signed, id_col, text_col, threshold))
     key = ["n_shingles", "print_a", "print_b"]
     filled = signed.filter("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("node"))
     classes = materialize(filled.join(labels, "node", "left").select(*key, F.coalesce("component", "node").alias("component")))
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    out = signed.select("doc_id", *key).join(classes, key, "left")
+    out = signed.select("doc_id", "text_key", *key).join(classes, key, "left")
     component = F.when(linked, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+    return _labelled(docs, id_col, text_col, threshold).drop("text_key").withColumnRenamed("doc_id", id_col)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each component; columns stay as they are."""
-    gone = near_duplicates(docs, id_col, text_col, threshold).filter("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """``docs`` with one document of each component; columns stay as they are.
+
+    Rows without words or without doc_id stay, and rows that repeat the one that stays. doc_id is
+    a key: texts that share one count as one document for the links, so they stay or go together
+    where both are near copies; a text without near copies stays whatever else has its id, unless
+    that is a near copy of a document with a smaller id.
+    """
+    gone = _labelled(docs, id_col, text_col, threshold).filter("not kept").select("doc_id", "text_key").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("own"))
+    left = rows.join(gone, (F.col("id") == F.col("doc_id")) & (F.col("own") == F.col("text_key")), "left_anti")
+    return left.select("row.*")
