@@ -9,8 +9,8 @@ The sort is distributed: the leading bits of the key split every source into bin
 ``BIN_ROWS`` rows, however large the source is; bins are summed first, then the rows of each bin.
 
 Defined results: null text has size 0; a null source is a source of its own, the last one; rows
-that repeat share the same key and are ordered among themselves by size; an empty table gives an
-empty table; extra columns are ignored.
+that repeat share the same key and are ordered among themselves by size; rows without doc_id get
+their key from their text; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,8 +58,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = "mix") -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, taken."""
-    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f"|{seed}")).cast("binary"))
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), key.alias("key")))
+    return _mixed(docs, id_col, text_col, source_col, weights, share, epochs, seed).drop("text_key")
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = "mix") -> DataFrame:
+    """The rows of :func:`mix` with a hash of their text."""
+    own = F.md5(F.concat(F.lit(f"|{seed}"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).cast("binary"))
+    key = F.when(F.col(id_col).isNull(), own).otherwise(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")).cast("binary")))
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), key.alias("key"), F.xxhash64(text_col).alias("text_key")))
     sizes = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")))
     targets = source_targets(sizes, weights, share, epochs)
 
@@ -89,6 +95,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "source_size",
         "target",
         (rounds * F.col("size") + part).cast("bigint").alias("taken"),
+        "text_key",
     )
 
 
@@ -96,9 +103,13 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """The rows of ``docs`` as often as the mix takes them, columns as they are.
 
     Documents stay whole here: the one at the cut of a source is taken once more if at least half
-    of it lies before the cut.
+    of it lies before the cut. A row is known by its doc_id, its source and its text; rows that
+    repeat in all three are taken alike, as often as the one of them that is taken most often.
+    Documents without words are never taken.
     """
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    taken = mix(docs, id_col, text_col, source_col, **options).filter("taken > 0").groupBy(F.col(id_col).alias("_id")).agg(F.max(times).alias("_times"))
-    rows = docs.join(taken.filter("_times > 0"), docs[id_col].eqNullSafe(taken["_id"]))
-    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_copy")).drop("_copy")
+    mixed = _mixed(docs, id_col, text_col, source_col, **options).filter("taken > 0")
+    taken = mixed.groupBy(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), "text_key").agg(F.max(times).alias("times")).filter("times > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("from"), F.xxhash64(text_col).alias("own"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")) & (F.col("own") == F.col("text_key"))
+    return rows.join(taken, same).select("row", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("copy")).select("row.*")

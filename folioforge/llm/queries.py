@@ -124,7 +124,7 @@ from d
 
 OP7_SQL = r"""
 with d as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, '') || '|mix') as k from documents
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(case when doc_id is null then '|mix' || md5(coalesce(text, '')) else doc_id::varchar || '|mix' end) as k from documents
 ), s as (
   select source, sum(size)::bigint as source_size from d group by source
 ), w as (
