@@ -7,17 +7,20 @@ weighted passage representation.
 
 The model is fitted on the driver with numpy on a bounded sample of labelled rows:
 ``SAMPLE_PER_LABEL`` documents for each label, of at most about ``SAMPLE_WORDS`` words, chosen by
-a hash of their ids. Scoring covers every passage of every text, in tasks, in blocks of bounded size.
+a hash of their ids. Scoring covers every passage of every text, in tasks, in blocks of bounded
+size: of a text of more than a block, attention is pooled as a running sum.
 
 Defined results: a null or empty text is a bag with one passage without words, and gets the score
 the model gives that. Rows that repeat get equal scores. Labels that are neither 0 nor 1 are not
-learned from. Without labels of both kinds every score is 0.5. An empty table gives an empty table;
-extra columns are ignored.
+learned from. Without labels of both kinds every score is 0.5, and :func:`keep_good` keeps every
+row, as there is nothing to reject by. An empty table gives an empty table; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +41,7 @@ CUT = 0.7
 #: Passages that are encoded at once.
 BLOCK_PASSAGES = 2048
 
+_SPACE = re.compile(r"\s")
 _RUNS = ((re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() else "Aa" if m[0][0].isupper() else "a"), (re.compile(r"\d+"), lambda m: "9"))
 
 
@@ -54,17 +58,29 @@ def _code(word: str) -> int:
     return xxhash.xxh3_64_intdigest(shape) % SHAPES | xxhash.xxh3_64_intdigest(stem) % LEXICON << 8 | upper << 16 | marks << 22 | min(len(word), 63) << 28 | own << 34
 
 
-_codes = Memo(_code, 150_000)
+_codes = Memo(_code, 100_000)
+
+
+def pieces(text: str, chars: int) -> Iterator[list[str]]:
+    """The words of a text, a part of about ``chars`` characters at a time; no word is cut."""
+    at = 0
+    while at < len(text):
+        gap = _SPACE.search(text, min(len(text), at + chars))
+        end = gap.start() if gap else len(text)
+        yield text[at:end].split()
+        at = end
 
 
 def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(features, first): one row for each passage; first[i] is where document i starts."""
-    counts, codes = [], []
-    for t in texts:
-        words = t.split()
-        counts.append(len(words))
-        codes.append(np.fromiter(map(_codes.__getitem__, words), np.int64, len(words)))
-    n = np.array(counts)
+    words = [t.split() for t in texts]
+    return _passages(words, np.array([len(w) for w in words]))
+
+
+def _passages(texts: list[list[str]], whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The passages of lists of words; ``whole`` says how many words the document of each has."""
+    codes = [np.fromiter(map(_codes.__getitem__, words), np.int64, len(words)) for words in texts]
+    n = np.array([len(words) for words in texts])
     bags = np.maximum(1, -(-n // PASSAGE_WORDS))
     first = np.concatenate([[0], np.cumsum(bags)])
     code = np.concatenate(codes) if codes else np.empty(0, np.int64)
@@ -83,7 +99,7 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     x[:, -5] = total(code >> 22 & 63) / chars
     x[:, -4] = chars / size / 10
     x[:, -3] = np.bincount(distinct >> 16, minlength=rows) / size
-    x[:, -2] = np.log1p(np.repeat(n, bags)) / 10
+    x[:, -2] = np.log1p(np.repeat(whole, bags)) / 10
     x[:, -1] = np.bincount(row, minlength=rows) == 0
     return x, first
 
@@ -110,6 +126,10 @@ class Model:
             while end < len(texts) and (end == at or size < BLOCK_PASSAGES):
                 size += len(texts[end]) // (5 * PASSAGE_WORDS) + 1
                 end += 1
+            if size > BLOCK_PASSAGES and end == at + 1:
+                out[at] = self._long(texts[at])
+                at = end
+                continue
             x, first = passages(texts[at:end])
             parts = [self.encode(x[i : i + BLOCK_PASSAGES]) for i in range(0, len(x), BLOCK_PASSAGES)]
             h, e = (np.concatenate(z) for z in zip(*parts, strict=True))
@@ -117,6 +137,31 @@ class Model:
             at = end
         return out
 
+    def _long(self, text: str) -> float:
+        """The score of one text, a block of passages at a time."""
+        chars = 5 * PASSAGE_WORDS * BLOCK_PASSAGES
+        whole = np.array([sum(len(words) for words in pieces(text, chars))])
+        most, weight, z = -np.inf, 0.0, np.zeros(HIDDEN)
+        left: list[str] = []
+
+        def add(words: list[str]) -> None:
+            nonlocal most, weight, z
+            h, e = self.encode(_passages([words], whole)[0])
+            top = max(most, float(e.max()))
+            w = np.exp(e - top)
+            old = np.exp(most - top)
+            most, weight, z = top, weight * old + float(w.sum()), z * old + w @ h
+
+        for words in pieces(text, chars):
+            left += words
+            full = len(left) // PASSAGE_WORDS * PASSAGE_WORDS
+            for i in range(0, full, PASSAGE_WORDS * BLOCK_PASSAGES):
+                add(left[i : min(full, i + PASSAGE_WORDS * BLOCK_PASSAGES)])
+            left = left[full:]
+        if left or weight == 0.0:
+            add(left)
+        return float(1 / (1 + np.exp(-(z / weight @ self.p["c"] + self.p["d"]))))
+
     def _pool(self, h: np.ndarray, e: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, bags = first[:-1], np.diff(first)
         weight = np.exp(e - np.repeat(np.maximum.reduceat(e, start), bags))
@@ -179,10 +224,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(share) < 2:
         return None
-    picked = [known.filter((F.col("label") == v) & in_hash_sample(F.col("doc_id"), per_label, share[v])).collect() for v in (0, 1)]
+    # about 2 * per_label rows of each label; never more than twice that, should many rows share an id
+    picked = [known.filter((F.col("label") == v) & in_hash_sample(F.col("doc_id"), per_label, share[v])).limit(4 * per_label).coalesce(1).collect() for v in (0, 1)]
     ids = docs.sparkSession.createDataFrame([tuple(r) for part in picked for r in part], known.schema)
     short = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text") <= 8 * SAMPLE_WORDS)
-    rows = short.join(F.broadcast(ids), "doc_id").collect()  # about 4 * per_label rows of bounded length
+    rows = short.join(F.broadcast(ids), "doc_id").limit(16 * per_label).coalesce(1).collect()  # about 4 * per_label rows of bounded length
     rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r["doc_id"])), r["text"]))
     sample = [r for v in (0, 1) for r in [r for r in rows if r["label"] == v][:per_label]]
     if len({r["label"] for r in sample}) < 2:
