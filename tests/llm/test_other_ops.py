@@ -180,6 +180,15 @@ def test_quality_of_held_out_documents(spark):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_long_texts_are_pooled_block_by_block(monkeypatch):
+    model = quality.fit(["the quiet river " * 60, "BUY!!! now $$$ " * 60] * 4, np.array([1, 0] * 4), 0.5)
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["the", "quiet", "river", "BUY!!!", "$$$"], n)) for n in (1, 700, 64 * 16, 5000)] + [""]
+    want = model.scores(texts)
+    monkeypatch.setattr(quality, "BLOCK_PASSAGES", 4)
+    assert model.scores(texts) == pytest.approx(want, abs=1e-5)
+
+
 def test_attention_gradients():
     """The fit's loss falls, and attention weighs the passages of each document to one."""
     good, bad = ["the quiet river runs to the sea " * 30] * 20, ["BUY!!! now $$$ " * 60] * 20
@@ -207,6 +216,23 @@ def test_archives(spark, tmp_path):
     assert warc.archive_and_read(pages.filter("false"), f"{tmp_path}/b").count() == 0
 
 
+def test_archives_of_pages_without_id(spark, tmp_path):
+    rows = [(None, "a", "same"), (1, "b", "same"), (2, "c", "same"), (None, "d", "same")]
+    out = warc.archive_and_read(spark.createDataFrame(rows, "page_id bigint, url string, html string"), f"{tmp_path}/a").collect()
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in out) == [("1", "revisit", None), ("2", "revisit", None), ("None", "response", None), ("None", "response", None)]
+
+
+def test_archives_of_many_equal_rows_and_sessions_with_limits(spark, tmp_path):
+    pages = spark.range(1000).selectExpr("case when id < 700 then 7 else id end as page_id", "'u' as url", "case when id < 700 then 'hot' else concat('page ', id) end as html")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "50")
+    try:
+        warc.write_archives(pages, f"{tmp_path}/a", file_rows=100)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    out = warc.read_archives(spark, f"{tmp_path}/a").groupBy("record_type").count().collect()
+    assert [tuple(r) for r in out] == [("response", 1000)] and len(list(tmp_path.glob("a/part-*"))) >= 10
+
+
 def test_archive_is_a_plain_zstandard_stream(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", f"<p>page {i}</p>" * 20) for i in range(300)], "page_id bigint, url string, html string")
     warc.write_archives(pages, f"{tmp_path}/a")

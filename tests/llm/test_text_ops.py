@@ -155,6 +155,37 @@ def test_pairs_between_the_thresholds(spark):
     assert all(r.kept for r in minhash.near_duplicates(docs).collect())
 
 
+@pytest.mark.parametrize("percent", [85, 87, 90])
+def test_recall_of_the_bands(percent):
+    """Sets at the threshold or above share a bucket: 300 pairs, none missed."""
+    rng = np.random.default_rng(percent)
+    for _ in range(300):
+        n = int(rng.integers(20, 400))
+        own = max(1, int(n * (100 - percent) / (100 + percent)))
+        both, a, b = (np.sort(rng.integers(0, 2**63, k).astype(np.uint64)) for k in (n - own, own, own))
+        x, y = np.concatenate([both, a]), np.concatenate([both, b])
+        if 100 * len(both) < percent * (len(both) + 2 * own):
+            x, y = np.concatenate([both, a[: own // 2]]), np.concatenate([both, b[: own // 2]])
+        assert np.intersect1d(shingles.band_keys(shingles.signature(x)), shingles.band_keys(shingles.signature(y))).size
+
+
+def test_near_copies_of_a_hot_pivot(spark, monkeypatch):
+    """Many partners of one pivot are dealt over several copies of its text."""
+    monkeypatch.setattr(minhash, "PIVOT_SHARE", 3)
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*words[:-1], f"end{i}"])) for i in range(40)] + [(99, "other words than those of the others here")]
+    assert {r.doc_id for r in minhash.near_duplicates(table(spark, rows)).collect() if r.kept} == {0, 99}
+
+
+def test_dropping_near_copies(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, words), (1, words + " x"), (2, words + " y"), (2, words + " y"), (1, words + " x"), (None, words), (None, None), (7, None), (8, ""), (9, "lone text of few words here")]
+    docs = table(spark, rows).withColumns({"_gone": F.lit(1), "row": F.lit(2), "id": F.lit(3), "own": F.lit(4), "text_key": F.lit(5)})
+    left = minhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and minhash.drop_near_duplicates(docs.filter("false")).count() == 0
+    assert sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in left.collect())) == [(False, 1, words + " x"), (False, 1, words + " x"), (False, 7, ""), (False, 8, ""), (False, 9, "lone text of few words here"), (True, 0, ""), (True, 0, words)]
+
+
 def test_bands_for_a_threshold():
     assert shingles.bands_for(85) == (shingles.BANDS, shingles.ROWS) and shingles.bands_for(80) == (33, 5)
 
@@ -241,7 +272,7 @@ def test_every_window_is_in_one_block():
 
 def test_mix(spark):
     rows = [(i, "w " * (i % 7 + 1), ["a", "b", None][i % 3]) for i in range(300)] + [(300, None, "a"), (301, "x", "tiny")]
-    docs = table(spark, rows, "doc_id bigint, text string, source string").drop("size")
+    docs = table(spark, rows, "doc_id bigint, text string, source string").withColumns({"_id": F.lit(1), "_times": F.lit(2), "_copy": F.lit(3), "taken": F.lit(4), "text_key": F.lit(5)})
     out = mixing.mix(docs).collect()
     assert sorted(map(str, out)) == sorted(map(str, mixing.mix(docs.repartition(3)).collect()))
     total = sum(r.size for r in out)
@@ -258,9 +289,20 @@ def test_mix(spark):
     assert mixed.columns == docs.columns and mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
 
 
+def test_mix_of_repeated_and_missing_ids(spark):
+    rows = [(None, f"w{i} " * (i % 5 + 1), "a") for i in range(60)] + [(1, "one two", "a"), (1, "other text here", "b"), (1, "one two", "a"), (2, None, None), (3, "", "c")]
+    docs = table(spark, rows, "doc_id bigint, text string, source string")
+    out = mixing.mix(docs).collect()
+    assert len(out) == len(rows) and all(r.taken <= 2 * r.size for r in out)
+    for s in ("a", "b", "c", None):
+        own = [r for r in out if r.source == s]
+        assert sum(r.taken for r in own) == int(own[0].target)
+    assert {(r.doc_id, r.text) for r in mixing.apply_mix(docs).collect()} <= {(i, t) for i, t, _ in rows if t}
+
+
 def test_bins_do_not_change_the_mix(spark, monkeypatch):
     rows = [(i, "w " * (i % 7 + 1), "a" if i % 3 else "b") for i in range(300)]
-    docs = table(spark, rows, "doc_id bigint, text string, source string").drop("size")
+    docs = table(spark, rows, "doc_id bigint, text string, source string")
     one = sorted(map(str, mixing.mix(docs).collect()))
     monkeypatch.setattr(mixing, "BIN_ROWS", 2)
     assert one == sorted(map(str, mixing.mix(docs).collect()))
@@ -272,4 +314,4 @@ def test_empty_tables(spark):
     assert exact.exact_groups(none).count() == 0
     assert minhash.near_duplicates(none).count() == 0
     assert suffix.remove_repeats(none).count() == 0
-    assert mixing.mix(none.drop("size").withColumn("source", F.lit("a"))).count() == 0
+    assert mixing.mix(none.withColumn("source", F.lit("a"))).count() == 0
