@@ -28,6 +28,7 @@ RULES: list[tuple[str, list[str], list[str], str | None, list[str]]] = [
     ("Higher Secondary (12th)", ["12th", "10+2", "hsc", "h.s.c", "higher secondary", "senior secondary", "intermediate", "pre degree", "w.b.c.h.s.e", "a levels"], [], None, []),
     ("Secondary (10th)", ["10th", "ssc", "s.s.c", "secondary", "high school", "madhyamik", "matric", "metric", "sslc", "w.b.b.s.e"], [], None, []),
 ]
+# The rank of each name.
 RANKS = {
     "Post Doctoral": 90, "Ph.D.": 80, "M.Tech": 70, "M.E.": 70, "M.Sc.": 70, "MCA": 70, "MBA": 70, "M.A.": 70, "M.Phil.": 70, "M.S.": 70,
     "B.Tech": 60, "B.E.": 60, "B.Sc.": 60, "BCA": 60, "B.A.": 60, "B.Ed": 60, "Diploma": 50, "Higher Secondary (12th)": 40, "Secondary (10th)": 30, "Other": 10,
@@ -79,20 +80,3 @@ def canonical_degrees(education: Column) -> Column:
     """Distinct canonical degrees but for Other, in the order of their first entry."""
     stored = F.transform(education, lambda e: F.coalesce(F.nullif(e["normalized_degree"], F.lit("")), normalize_degree(e["degree"])))
     return F.array_distinct(F.filter(F.coalesce(stored, F.array().cast("array<string>")), lambda d: (d != "") & (d != OTHER)))
-
-
-def degree_case_sql(column: str) -> str:
-    """The same rules as a CASE expression for SQL engines with contains and regexp_matches."""
-    s = f"lower(trim({column}))"
-    quote = lambda x: "'" + x.replace("'", "''") + "'"
-    parts = []
-    for name, contained, equal, pattern, without in RULES:
-        tests = [f"contains({s}, {quote(x)})" for x in contained] + [f"{s} = {quote(x)}" for x in equal]
-        if pattern:
-            tests.append(f"regexp_matches({s}, {quote(pattern)})")
-        parts.append(f"when ({' or '.join(tests)}){''.join(f' and not contains({s}, {quote(x)})' for x in without)} then {quote(name)}")
-    return f"case {' '.join(parts)} else '{OTHER}' end"
-
-
-def rank_case_sql(column: str) -> str:
-    return f"case {column} {' '.join(f'when {chr(39)}{k}{chr(39)} then {v}' for k, v in RANKS.items())} else {LEAST_RANK} end"

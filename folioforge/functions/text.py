@@ -99,10 +99,15 @@ def count_bullets(text: Column) -> Column:
     return _removed(text, BULLETS).cast("bigint")
 
 
+#: White space as str.split sees it, for a character class; the regex flag for all of Unicode would do the same, much slower.
+_BLANK = r"\t\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SPACE = rf"[\n{_BLANK}]"
+
+
 def trim_lines(text: Column) -> Column:
     """No white space at a line's end; all kinds of line borders become line feeds, the last one goes."""
     text = F.regexp_replace(text, "[\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]|\\r\\n?", "\n")
-    text = F.regexp_replace(text, r"(?U)[^\S\n]+(?=\n|\z)", "")
+    text = F.regexp_replace(text, rf"[{_BLANK}]++(?=\n|\z)", "")
     return F.regexp_replace(text, r"\n\z", "")
 
 
@@ -151,11 +156,11 @@ assert [s[0] for s in STAGES] == [f.name for f in fields(CleanerConfig)]
 
 def words(text: Column) -> Column:
     """The words of a text, split at any Unicode white space."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(text, f"{_SPACE}+"), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text)).cast("bigint")
+    return F.regexp_count(text, F.lit(f"[^\\n{_BLANK}]+")).cast("bigint")
 
 
 def line_count(text: Column) -> Column:
@@ -167,7 +172,7 @@ def line_count(text: Column) -> Column:
 
 def trim_all(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.regexp_replace(F.regexp_replace(text, rf"\A{_SPACE}+", ""), rf"(?<!{_SPACE}){_SPACE}++\z", "")
 
 
 def present(text: Column) -> Column:

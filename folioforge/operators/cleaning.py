@@ -17,9 +17,11 @@ def clean_text(text: Column, config: CleanerConfig = CleanerConfig()) -> Column:
     return text
 
 
-def clean(docs: DataFrame, config: CleanerConfig = CleanerConfig(), text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, config: CleanerConfig = CleanerConfig(), text: str = "text", keep: str | None = None) -> DataFrame:
     """Replace the text by its clean form and add the struct ``cleaning``: what each stage changed, characters before and after.
 
+    ``keep`` is the name under which the text stays as it was; :func:`report_of` takes it from there.
+
     Each stage is a projection of its own, so its text is computed once for the counter and the
     next stage; the Python stage (NFKC) runs once, in Arrow batches, and is left out of the plan
     if its option is off.
@@ -43,7 +45,8 @@ def clean(docs: DataFrame, config: CleanerConfig = CleanerConfig(), text: str =
     last = F.col(f"_{len(tx.STAGES)}")
     counters += [length(F.col(text)).alias("characters_before"), length(last).alias("characters_after")]
     rest = [c for c in docs.columns if c != text]
-    return out.select(*rest, last.alias(text), F.struct(*counters).alias("cleaning"))
+    before = [F.col(text).alias(keep)] if keep else []
+    return out.select(*rest, *before, last.alias(text), F.struct(*counters).alias("cleaning"))
 
 
 def cleaning_statistics(cleaned: DataFrame) -> DataFrame:
@@ -56,14 +59,22 @@ def cleaning_statistics(cleaned: DataFrame) -> DataFrame:
     return total.withColumn("compression_ratio", ratio).withColumn("preserved_percent", F.round(100 * ratio, 2))
 
 
+def _measures(text: str, when: str) -> list[Column]:
+    value = F.coalesce(text, F.lit(""))
+    return [F.length(value).cast("bigint").alias(f"characters_{when}"), tx.word_count(value).alias(f"words_{when}"), tx.line_count(value).alias(f"lines_{when}")]
+
+
+def report_of(cleaned: DataFrame, before: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """:func:`cleaning_report` of rows that hold both texts, so that nothing is joined."""
+    return _compared(cleaned.select(*keys, *_measures(before, "before"), *_measures("text", "after")))
+
+
 def cleaning_report(raw: DataFrame, cleaned: DataFrame, key: str = "doc_id") -> DataFrame:
     """Characters, words and lines of each document before and after, what went, and the compression ratio."""
+    return _compared(raw.select(key, *_measures("text", "before")).join(cleaned.select(key, *_measures("text", "after")), key))
 
-    def measures(df: DataFrame, when: str) -> DataFrame:
-        text = F.coalesce("text", F.lit(""))
-        return df.select(key, F.length(text).cast("bigint").alias(f"characters_{when}"), tx.word_count(text).alias(f"words_{when}"), tx.line_count(text).alias(f"lines_{when}"))
 
-    both = measures(raw, "before").join(measures(cleaned, "after"), key)
+def _compared(both: DataFrame) -> DataFrame:
     gone = [(F.col(f"{n}_before") - F.col(f"{n}_after")).alias(f"{n}_removed") for n in ("characters", "words", "lines")]
     ratio = F.round(F.col("characters_after") / F.greatest("characters_before", F.lit(1)), 4)
     return both.select("*", *gone, ratio.alias("compression_ratio"))

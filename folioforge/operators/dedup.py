@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,10 +42,14 @@ def first_of_each(hashed: DataFrame, order: str = "doc_id") -> DataFrame:
 
 
 def dedup_exact(docs: DataFrame, order: str = "doc_id", content: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
-    """The first document, by ``order``, of each content. Among rows that tie, any one stays."""
-    hashed = with_hash(docs, content).select(*(keep or docs.columns), "content_hash")
-    window = Window.partitionBy("content_hash").orderBy(order)
-    return hashed.withColumn("_n", F.row_number().over(window)).filter("_n = 1").drop("_n")
+    """The first document, by ``order``, of each content. Among rows that tie, any one stays.
+
+    Every task keeps one row of each content, so a content that most documents share is as cheap
+    as any other.
+    """
+    hashed = with_hash(docs, content)
+    row = F.struct(*(keep or docs.columns)).alias("row")
+    return hashed.groupBy("content_hash").agg(F.min_by(row, F.struct(order)).alias("row")).select("row.*", "content_hash")
 
 
 def new_entries(docs: DataFrame, registry: DataFrame | None, content: str = "text", order: str = "doc_id") -> DataFrame:

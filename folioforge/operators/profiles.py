@@ -28,12 +28,13 @@ def flatten_profiles(profiles: DataFrame, key: str = "cand_id") -> DataFrame:
         F.coalesce("education", F.array().cast(profiles.schema["education"].dataType)),
         lambda e: e.withField("normalized_degree", F.coalesce(_given(e["normalized_degree"]), dg.normalize_degree(e["degree"]))),
     )
+    highest = F.coalesce(_given(F.col("normalized_highest_degree")), dg.highest_degree_stored(F.col("education")))
     rows = profiles.withColumn("education", entries)
     return rows.select(
         F.col(key).alias("id"),
         _or(p("full_name"), F.col(key)).alias("full_name"),
         _or(p("current_designation"), first("experience", "designation"), F.lit("Faculty Member")).alias("designation"),
-        F.coalesce(_given(F.col("normalized_highest_degree")), dg.highest_degree_stored(F.col("education"))).alias("highest_degree"),
+        highest.alias("highest_degree"),
         F.coalesce(first("education", "degree"), blank).alias("raw_highest_degree"),
         dg.canonical_degrees(F.col("education")).alias("all_degrees"),
         _or(first("education", "institution"), first("education", "board_university"), blank).alias("institution"),
@@ -138,8 +139,8 @@ def matches_text(search: str) -> Column:
 
 
 def matches_degree(degree: str) -> Column:
-    top = F.col("highest_degree")
-    return (top == degree) | F.array_contains("all_degrees", degree) | (dg.normalize_degree(top) == degree)
+    of_top = F.exists(F.array("highest_degree"), lambda top: (top == degree) | (dg.normalize_degree(top) == degree))
+    return of_top | F.array_contains("all_degrees", degree)
 
 
 def contains_text(column: str, part: str) -> Column:
@@ -152,21 +153,21 @@ def matches_experience(bucket: str) -> Column | None:
 
 
 def filter_profiles(flat: DataFrame, search: str = "", degree: str = "", institution: str = "", designation: str = "", experience: str = "", journal: bool = False, conference: bool = False, patent: bool = False) -> DataFrame:
-    """The profiles that meet all criteria; blank criteria are no conditions."""
+    """The profiles that meet all criteria; blank criteria are no conditions. Cheap ones come first."""
     conditions = []
-    if search.strip():
-        conditions.append(matches_text(search))
-    if degree:
-        conditions.append(matches_degree(degree))
+    for wanted, name in ((journal, "journal_publications"), (conference, "conference_publications"), (patent, "patents")):
+        if wanted:
+            conditions.append(count_of(name) > 0)
     if institution:
         conditions.append(contains_text("institution", institution))
     if designation:
         conditions.append(contains_text("designation", designation))
     if experience:
         conditions.append(matches_experience(experience))
-    for wanted, name in ((journal, "journal_publications"), (conference, "conference_publications"), (patent, "patents")):
-        if wanted:
-            conditions.append(count_of(name) > 0)
+    if degree:
+        conditions.append(matches_degree(degree))
+    if search.strip():
+        conditions.append(matches_text(search))
     for condition in conditions:
         if condition is not None:
             flat = flat.filter(condition)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from folioforge.functions.similarity import character_error_rate, edit_distance, normalised_distance
+from folioforge.functions.similarity import edit_distance
 from folioforge.functions.text import trim_all, words
 from folioforge.operators.profiles import group_means
 
@@ -25,42 +29,47 @@ def pair_texts(truth: DataFrame, found: DataFrame, key: str = "doc_id") -> DataF
     return found.join(truth, key)
 
 
-def bleu4(pairs: DataFrame, keys: tuple[str, ...] = ("doc_id", "tool"), longest: int = 4) -> DataFrame:
-    """(keys, bleu): BLEU with one reference, clipped n-gram counts, brevity penalty, and EPSILON for zero counts.
+def _hits(truth: str, found: str, longest: int = 4) -> list[int]:
+    """Clipped counts of common 1- to 4-grams, and the words of both texts."""
+    a, b = truth.split(), found.split()
+    grams = lambda words, n: Counter(zip(*(words[i:] for i in range(n)), strict=False))
+    return [*((grams(a, n) & grams(b, n)).total() for n in range(1, longest + 1)), len(a), len(b)]
+
+
+_HITS = ["m1", "m2", "m3", "m4", "ref", "hyp"]
 
-    Counts are made per pair and n-gram by two aggregates; nothing is gathered per pair.
-    """
-    rows = pairs.select(*keys, words(F.col("gt")).alias("g"), words(F.col("pred")).alias("p"))
 
-    def grams(side: str) -> Column:
-        def of(n: int) -> Column:
-            size = F.size(side)
-            at = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-            return F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(F.col(side), i, F.lit(n)), " ").alias("gram"), F.lit(int(side == "g")).alias("g"), F.lit(int(side == "p")).alias("p")))
+@F.pandas_udf(StructType([StructField(n, LongType()) for n in _HITS]))
+def gram_hits(truth: pd.Series, found: pd.Series) -> pd.DataFrame:
+    rows = [_hits(a or "", b or "") for a, b in zip(truth, found, strict=True)]
+    return pd.DataFrame(rows, columns=_HITS)
 
-        return F.concat(*[of(n) for n in range(1, longest + 1)])
 
-    each = rows.select(*keys, F.explode(F.concat(grams("g"), grams("p"))).alias("x")).select(*keys, "x.*")
-    per_gram = each.groupBy(*keys, "n", "gram").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
-    per_n = per_gram.groupBy(*keys).agg(*[F.sum(F.when(F.col("n") == n, F.least("g", "p"))).alias(f"m{n}") for n in range(1, longest + 1)])
-    sizes = rows.select(*keys, F.size("g").alias("ref"), F.size("p").alias("hyp"))
-    joined = sizes.join(per_n, list(keys), "left")
+def bleu_score(hits: str) -> Column:
+    """BLEU with one reference, clipped n-gram counts, brevity penalty, and EPSILON for zero counts, from :func:`gram_hits`."""
+    h = lambda n: F.col(f"{hits}.{n}")
     logs = None
-    for n in range(1, longest + 1):
-        hits = F.coalesce(f"m{n}", F.lit(0))
-        share = F.when(hits > 0, hits.cast("double")).otherwise(EPSILON) / F.greatest(F.lit(1), F.col("hyp") - n + 1)
+    for n in range(1, 5):
+        share = F.when(h(f"m{n}") > 0, h(f"m{n}").cast("double")).otherwise(EPSILON) / F.greatest(F.lit(1), h("hyp") - n + 1)
         logs = F.log(share) if logs is None else logs + F.log(share)
-    penalty = F.when(F.col("hyp") > F.col("ref"), 1.0).otherwise(F.exp(1 - F.col("ref") / F.col("hyp")))
-    score = F.when((F.col("hyp") == 0) | (F.coalesce("m1", F.lit(0)) == 0), 0.0).otherwise(penalty * F.exp(logs / longest))
-    return joined.select(*keys, score.alias("bleu"))
+    penalty = F.when(h("hyp") > h("ref"), 1.0).otherwise(F.exp(1 - h("ref") / h("hyp")))
+    return F.when((h("hyp") == 0) | (h("m1") == 0), 0.0).otherwise(penalty * F.exp(logs / 4))
+
+
+def bleu4(pairs: DataFrame, keys: tuple[str, ...] = ("doc_id", "tool")) -> DataFrame:
+    """(keys, bleu) of each pair; a pair is counted where it is, nothing is shuffled."""
+    return pairs.select(*keys, gram_hits("gt", "pred").alias("hits")).select(*keys, bleu_score("hits").alias("bleu"))
 
 
 def score_texts(pairs: DataFrame, keys: tuple[str, ...] = ("doc_id", "tool")) -> DataFrame:
     """f1, cer, ned and bleu of each pair; the edit distance is computed once."""
-    gt, pred = trim_all(F.col("gt")), trim_all(F.col("pred"))
-    rows = pairs.select(*keys, token_f1(F.col("gt"), F.col("pred")).alias("f1"), edit_distance(gt, pred).alias("d"), gt.alias("gt"), pred.alias("pred"))
-    cer, ned = character_error_rate(F.col("d"), F.col("gt")), normalised_distance(F.col("d"), F.col("gt"), F.col("pred"))
-    return rows.select(*keys, "f1", cer.alias("cer"), ned.alias("ned")).join(bleu4(pairs, keys), list(keys))
+    rows = pairs.select(*keys, F.coalesce("gt", F.lit("")).alias("gt"), F.coalesce("pred", F.lit("")).alias("pred"))
+    rows = rows.withColumns({"a": trim_all(F.col("gt")), "b": trim_all(F.col("pred"))})
+    size = {s: F.length(s).alias(f"n_{s}") for s in ("a", "b")}
+    rows = rows.select(*keys, token_f1(F.col("gt"), F.col("pred")).alias("f1"), edit_distance("a", "b").alias("d"), gram_hits("gt", "pred").alias("hits"), *size.values())
+    cer = F.when(F.col("n_a") > 0, F.col("d") / F.col("n_a"))
+    most = F.greatest("n_a", "n_b")
+    return rows.select(*keys, "f1", cer.alias("cer"), F.when(most > 0, F.col("d") / most).alias("ned"), bleu_score("hits").alias("bleu"))
 
 
 def summarise_tools(scores: DataFrame) -> DataFrame:

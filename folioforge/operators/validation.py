@@ -51,9 +51,9 @@ def parse_strict(text: Column) -> Column:
 
     The parser ignores what follows a value; inside brackets and as a member it cannot.
     """
-    one = F.size(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).try_cast("array<variant>")) == 1
+    items = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).try_cast("array<variant>")
     member = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
-    return F.when(F.coalesce(one, F.lit(False)) & member, F.try_parse_json(text))
+    return let(items, lambda x: F.when((F.size(x) == 1) & member, x[0]))
 
 
 def _kind(value: Column) -> Column:
@@ -73,11 +73,17 @@ def int_at(value: Column, path: str) -> Column:
 
 
 def float_at(value: Column, path: str, default: float = 0.0) -> Column:
+    """A number, or ``default`` where there is none."""
     return F.coalesce(F.try_variant_get(value, path, "double"), F.lit(default))
 
 
-def bool_at(value: Column, path: str, default: bool = False) -> Column:
-    return F.coalesce(F.try_variant_get(value, path, "boolean"), F.lit(default))
+def bool_at(value: Column, path: str) -> Column:
+    """Whether there is something: false, 0, an empty string, list or record, null and what is missing count as nothing."""
+    kind = _kind(F.try_variant_get(value, path, "variant"))
+    text = F.try_variant_get(value, path, "string")
+    some = F.when(kind.isin("MISSING", "VOID"), False).when(kind == "STRING", text != "").when(kind == "BOOLEAN", F.try_variant_get(value, path, "boolean"))
+    some = some.when(F.startswith(kind, F.lit("ARRAY")), text != "[]").when(F.startswith(kind, F.lit("OBJECT")), text != "{}")
+    return some.otherwise(F.coalesce(F.try_variant_get(value, path, "double") != 0, F.lit(True)))
 
 
 def _record(value: Column, names: list[str], at: str = "$") -> Column:
@@ -128,16 +134,32 @@ def quarantine(validated: DataFrame, key: str = "doc_id", response: str = "respo
 
 
 def resolve_attempts(validated: DataFrame, key: str = "doc_id", most: int = MAX_ATTEMPTS) -> DataFrame:
-    """One row per document: its first valid attempt among the first ``most``, else status failed."""
+    """One row per document: its first valid attempt among the first ``most``, else status failed.
+
+    Attempts beyond ``most`` are not looked at; documents that have no others are left out.
+    """
+    validated = validated.filter(F.col("attempt") <= most)
     names = [f for f in ("personal_information", "education", "experience", "publication_summary", "normalized_highest_degree")]
-    good = F.col("valid") & (F.col("attempt") <= most)
-    first = F.min_by(F.when(good, F.struct("attempt", *names)), F.when(good, F.col("attempt"))).alias("_first")
-    tried = F.max(F.when(F.col("attempt") <= most, F.col("attempt"))).alias("_tried")
-    rows = validated.groupBy(key).agg(first, tried)
+    first = F.min_by(F.when(F.col("valid"), F.struct("attempt", *names)), F.when(F.col("valid"), F.col("attempt"))).alias("_first")
+    rows = validated.groupBy(key).agg(first, F.max("attempt").alias("_tried"))
     status = F.when(F.col("_first").isNotNull(), "success").otherwise("failed").alias("status")
     return rows.select(key, status, F.coalesce("_first.attempt", "_tried").alias("attempts"), *[F.col(f"_first.{n}").alias(n) for n in names])
 
 
+def resolve_responses(responses: DataFrame, key: str = "doc_id", response: str = "response", most: int = MAX_ATTEMPTS) -> DataFrame:
+    """:func:`resolve_attempts` from raw responses: the attempt is chosen first, and only the chosen response is repaired."""
+    responses.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    rows = responses.filter(F.col("attempt") <= most).select(key, "attempt", response)
+    rows = computed_once(rows, {"_text": clean_response(F.col(response))})
+    rows = rows.select(key, "attempt", F.when(parse_strict(F.col("_text")).isNotNull(), F.col("_text")).alias("_text"))
+    good = F.when(F.col("_text").isNotNull(), F.col("attempt"))
+    chosen = rows.groupBy(key).agg(F.min_by("_text", good).alias("_text"), F.min(good).alias("_good"), F.max("attempt").alias("_tried"))
+    parsed = computed_once(chosen, {"_v": parse_strict(F.col("_text"))}).withColumn("_p", F.when(F.col("_v").isNotNull(), repair(F.col("_v"))))
+    profile = ["personal_information", "education", "experience", "publication_summary"]
+    status = F.when(F.col("_good").isNotNull(), "success").otherwise("failed").alias("status")
+    return enrich_profiles(parsed.select(key, status, F.coalesce("_good", "_tried").alias("attempts"), *[F.col(f"_p.{n}").alias(n) for n in profile]))
+
+
 def attempt_summary(resolved: DataFrame) -> DataFrame:
     return resolved.agg(
         F.count(F.lit(1)).alias("documents"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 NOISY = """
 select doc_id, lang, case cast(doc_id % 8 as int)
-  when 1 then concat('\u2022 \u201cprofile\u201d \u2013 ', text)
+  when 1 then concat('\u2022 \u201cpro\ufb01le\u201d \u2013 \uff26\uff35\uff2c\uff2c \u2460 ', text)
   when 2 then replace(text, '. ', '.  \t')
   when 3 then concat('exam-\nple ', text, ' a-\nb-\nc')
   when 4 then replace(text, '\n', '\r\n')
@@ -219,8 +219,8 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, REFERENCES, "documents")
 
 
-#: ASCII texts of at most 400 characters, as the edit distance of a pair costs their product.
-REFERENCES = "select doc_id, substr(regexp_replace(text, '[^ -~]', ' '), 1, 400) as gt from {documents}"
+#: Whole texts in ASCII.
+REFERENCES = "select doc_id, regexp_replace(text, '[^ -~]', ' ') as gt from {documents}"
 
 
 def tool_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,17 +228,53 @@ def tool_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TOOLS.replace("({references})", "{references}"), references=references(spark, sf_dir))
 
 
-#: The same of whole texts.
-WHOLE_REFERENCES = "select doc_id, regexp_replace(text, '[^ -~]', ' ') as gt from {documents}"
+#: Spellings of degrees with the names and ranks they are to get, worked out by hand.
+DEGREES = [
+    ("Post Doc in Chemistry", "Post Doctoral", 90), ("postdoctoral fellow", "Post Doctoral", 90), ("Post-Doc", "Post Doctoral", 90), (" PhD ", "Ph.D.", 80),
+    ("Ph. D. (Physics)", "Ph.D.", 80), ("Doctorate in Law", "Ph.D.", 80), ("Dr. of Philosophy", "Ph.D.", 80), ("M. Tech", "M.Tech", 70), ("MTECH CSE", "M.Tech", 70),
+    ("Masters in Technology", "M.Tech", 70), ("BTech IT", "B.Tech", 60), ("Bachelor of Technology", "B.Tech", 60), ("M.B.A", "MBA", 70), ("Executive MBA", "MBA", 70),
+    ("B.A. Mumbai", "MBA", 70), ("Master of Engineering", "M.E.", 70), ("ME", "M.E.", 70), ("M.E", "M.E.", 70), ("M.Ed", "M.E.", 70), ("M.E. Mechanical", "Other", 10),
+    ("M.E. Media", "Other", 10), ("Bachelor of Engineering", "B.E.", 60), ("BE", "B.E.", 60), ("BE Civil", "B.E.", 60), ("B.Ed", "B.E.", 60), ("MCA", "MCA", 70), ("M.C.A.", "MCA", 70),
+    ("Masters in Computer Applications", "MCA", 70), ("MSc CS", "MCA", 70), ("Master of Computer Science", "MCA", 70), ("B.C.A", "BCA", 60), ("Bachelor of Computer Application", "BCA", 60),
+    ("M.Sc. (Mathematics)", "M.Sc.", 70), ("M Sc Botany", "M.Sc.", 70), ("Master in Science", "M.Sc.", 70), ("BSc Hons", "B.Sc.", 60), ("Bachelor of Science", "B.Sc.", 60),
+    ("M.Phil", "M.Phil.", 70), ("Master of Philosophy", "M.Phil.", 70), ("MS Physics", "M.S.", 70), ("M.S.", "M.S.", 70), ("M.A. English", "M.A.", 70), ("MSW", "M.A.", 70),
+    ("Master of Social Work", "M.A.", 70), ("B.A", "B.A.", 60), ("BA(H) History", "B.A.", 60), ("Bachelor of Arts", "B.A.", 60), ("Bachelor of Education", "B.Ed", 60),
+    ("Diploma in Pharmacy", "Diploma", 50), ("12th", "Higher Secondary (12th)", 40), ("10+2", "Higher Secondary (12th)", 40), ("H.S.C", "Higher Secondary (12th)", 40),
+    ("Senior Secondary", "Higher Secondary (12th)", 40), ("Intermediate", "Higher Secondary (12th)", 40), ("A Levels", "Higher Secondary (12th)", 40), ("HSSC", "Secondary (10th)", 30),
+    ("SSLC", "Secondary (10th)", 30), ("Secondary", "Secondary (10th)", 30), ("High School", "Secondary (10th)", 30), ("Madhyamik", "Secondary (10th)", 30), ("Matriculation", "Secondary (10th)", 30),
+    ("B.Com", "Other", 10), ("B.S.", "Other", 10), ("LLB", "Other", 10), ("", "Other", 10), ("  ", "Other", 10), (None, "Other", 10),
+]
 
 
-def whole_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql(spark, sf_dir, WHOLE_REFERENCES, "documents")
+def degree_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, degree): one of DEGREES for each order."""
+    all_of_them = F.array(*[F.lit(d).cast("string") for d, _, _ in DEGREES])
+    return _tables(spark, sf_dir, "orders")["orders"].select(F.col("o_orderkey").alias("id"), F.get(all_of_them, F.pmod("o_orderkey", F.lit(len(DEGREES)))).alias("degree"))
 
 
-def whole_tool_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tool_texts from whole references."""
-    return spark.sql(TOOLS.replace("({references})", "{references}"), references=whole_references(spark, sf_dir))
+def degrees_sql() -> str:
+    """(id, degree, name, rank) for the other engine, from the list alone."""
+    quote = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quote(d)}, {quote(n)}, {r})" for i, (d, n, r) in enumerate(DEGREES))
+    return f"select o_orderkey as id, degree, name, rank from orders join (values {rows}) as v(i, degree, name, rank) on o_orderkey % {len(DEGREES)} = i"
+
+
+#: JSON values with what they are as a number and as a truth value, worked out by hand.
+COERCIONS = [
+    ("14.5", 14.5, True), ('"14.5"', 14.5, True), ('" 2 "', 2.0, True), ("0", 0.0, False), ("0.0", 0.0, False), ("-3", -3.0, True), ("true", 1.0, True), ("false", 0.0, False), ("null", 7.0, False),
+    ('""', 7.0, False), ('"0"', 0.0, True), ('"false"', 7.0, True), ('"12+"', 7.0, True), ("[]", 7.0, False), ("[0]", 7.0, True), ("{}", 7.0, False), ('{"a": 0}', 7.0, True), (None, 7.0, False),
+]
+
+
+def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, response): a record with one of COERCIONS under the key x, or without that key, for each order."""
+    records = F.array(*[F.lit("{}" if v is None else f'{{"x": {v}}}') for v, _, _ in COERCIONS])
+    return _tables(spark, sf_dir, "orders")["orders"].select(F.col("o_orderkey").alias("id"), F.get(records, F.pmod("o_orderkey", F.lit(len(COERCIONS)))).alias("response"))
+
+
+def coercions_sql() -> str:
+    rows = ", ".join(f"({i}, {n}::double, {b})" for i, (_, n, b) in enumerate(COERCIONS))
+    return f"select o_orderkey as id, number, truth from orders join (values {rows}) as v(i, number, truth) on o_orderkey % {len(COERCIONS)} = i"
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:

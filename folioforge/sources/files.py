@@ -30,11 +30,15 @@ def read_documents(spark: SparkSession, path: str | Sequence[str], glob: str = "
     return files.select(_stem().alias("doc_id"), decode_lenient(F.col("content")).alias("text"))
 
 
-def read_profiles(spark: SparkSession, path: str | Sequence[str], kind: str = schema.ENRICHED) -> DataFrame:
-    """(cand_id, profile columns): one JSON record per file; files that are not readable are left out."""
+def read_profiles(spark: SparkSession, path: str | Sequence[str], kind: str = schema.ENRICHED, glob: str = "*.json") -> DataFrame:
+    """(cand_id, profile columns): one JSON record per file; files that are not readable are left out.
+
+    cand_id is the name of the file, unless ``kind`` says that the records have one.
+    """
     ddl = f"{kind}, _corrupt string"
-    rows = spark.read.schema(ddl).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").json(path)
-    rows = rows.select(_stem().alias("cand_id"), "*")
+    rows = spark.read.schema(ddl).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", glob).json(path)
+    if "cand_id" not in rows.columns:
+        rows = rows.select(_stem().alias("cand_id"), "*")
     return rows.filter(F.col("_corrupt").isNull()).drop("_corrupt")
 
 

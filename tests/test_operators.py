@@ -134,6 +134,46 @@ def test_attempts(spark):
     rows = spark.createDataFrame([(1, 1, ""), (1, 2, "{}"), (1, 3, "{}"), (2, 1, "x"), (2, 4, "{}")], "doc_id int, attempt int, response string")
     out = {r.doc_id: (r.status, r.attempts) for r in validation.resolve_attempts(validation.validate_responses(rows)).collect()}
     assert out == {1: ("success", 2), 2: ("failed", 1)}
+    whole = {r.doc_id: (r.status, r.attempts, r.education) for r in validation.resolve_responses(rows).collect()}
+    assert {i: x[:2] for i, x in whole.items()} == out and len(whole[1][2]) == 1 and whole[2][2] is None
+
+
+def test_edit_metrics_of_queries_against_brute_force(spark):
+    """The queries without SQL, on the smallest tables, against distances from a plain table for short texts."""
+    from folioforge.plans import fixtures, queries
+
+    sf = "/root/testdata/sf0.001"
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    texts = {(r.doc_id, r.tool): (r.gt.strip(), r.pred.strip()) for r in fixtures.tool_texts(spark, sf).collect()}
+    short = {k: distance(*v) for k, v in texts.items() if len(v[0]) * len(v[1]) < 300_000}
+    got = {(r.doc_id, r.tool): r for r in queries.QUERIES["t2_t3_edit_distance"](spark, sf).collect()}
+    assert len(short) > 50 and got.keys() == texts.keys()
+    for k, d in short.items():
+        gt, pred = texts[k]
+        assert got[k].cer == (pytest.approx(d / len(gt)) if gt else None) and got[k].ned == (pytest.approx(d / max(len(gt), len(pred))) if gt or pred else None)
+    scores = queries.QUERIES["t6_score_texts"](spark, sf).toPandas()
+    means = scores.groupby("tool")[["f1", "cer", "ned", "bleu"]].mean()
+    summary = {r.tool: r for r in queries.QUERIES["t7_summarise_tools"](spark, sf).collect()}
+    series = {(r.tool, r.metric): r.value for r in queries.QUERIES["t9_metric_series"](spark, sf).collect()}
+    for tool, row in means.iterrows():
+        for m in means.columns:
+            assert summary[tool][m] == pytest.approx(row[m], abs=1e-8) and series[tool, m] == pytest.approx(row[m], abs=1e-8)
+    order = sorted(means.index, key=lambda t: (-means.f1[t], -means.bleu[t], t))
+    assert [r.tool for r in queries.QUERIES["t8_rank_tools"](spark, sf).orderBy("rank").collect()] == order
+
+
+def test_first_of_equal_contents(spark):
+    docs = spark.createDataFrame([(3, "a", 1), (1, "a", 2), (None, "b", 3), (None, "b", 4), (2, None, 5)], "doc_id int, text string, row int")
+    got = {(r.doc_id, r.text) for r in dedup.dedup_exact(docs).collect()}
+    assert got == {(1, "a"), (None, "b"), (2, None)} and dedup.dedup_exact(docs).columns == ["doc_id", "text", "row", "content_hash"]
 
 
 def test_scalars(spark):
@@ -199,11 +239,11 @@ def test_whole_texts_are_scored(spark):
     from folioforge.plans import fixtures, queries
 
     sf = "/root/testdata/sf0.001"
-    texts = {(r.doc_id, r.tool): r for r in fixtures.whole_tool_texts(spark, sf).collect()}
+    texts = {(r.doc_id, r.tool): r for r in fixtures.tool_texts(spark, sf).collect()}
     docs = {r.doc_id: r.text for r in fixtures.documents(spark, sf).collect()}
     assert {i: len(t) for i, t in docs.items()} == {i: len(r.gt) for (i, tool), r in texts.items() if tool == "alpha"}
     assert max(len(r.gt) for r in texts.values()) > 10_000
-    scores = {(r.doc_id, r.tool): r for r in queries.QUERIES["t6_score_texts_whole"](spark, sf).collect()}
+    scores = {(r.doc_id, r.tool): r for r in queries.QUERIES["t6_score_texts"](spark, sf).collect()}
     assert scores.keys() == texts.keys()
     for key, r in texts.items():
         gt, pred = r.gt.strip(), r.pred.strip()

@@ -51,6 +51,6 @@ def test_every_document_is_decoded_and_paired(spark):
 
     sf = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    assert {r.doc_id: r.text for r in queries.QUERIES["s2_decode_lenient_whole"](spark, sf).collect()} == docs
-    paired = {(r.doc_id, r.tool) for r in queries.QUERIES["t5_pair_texts_whole"](spark, sf).collect()}
+    assert {r.doc_id: r.text for r in queries.QUERIES["s2_decode_lenient"](spark, sf).collect()} == docs
+    paired = {(r.doc_id, r.tool) for r in queries.QUERIES["t5_pair_texts"](spark, sf).collect()}
     assert paired == {(i, t) for i in docs for t in ("alpha", "beta", "gamma") if t != "gamma" or i % 5}
