@@ -302,18 +302,18 @@ def s1_read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, _text_files(spark, sf_dir)).select(F.sha2("text", 256).alias("text_hash"), F.length("text").alias("characters"))
 
 
-@query(f"with {_D_LONG} select cand_id, full_name, email, (select count(*) from education e where e.cand_id = p.cand_id) as educations from personal p where cast(substr(cand_id, 3) as int) % 10 <> 3")
+@query(f"with {_D_LONG} select cand_id, full_name, email, (select count(*) from education e where e.cand_id = p.cand_id) as educations from personal p where cast(substr(cand_id, 3) as int) // {_PER_FILE} % 10 <> 3")
 def s3_read_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON file for each profile; every tenth is cut off in the middle and cannot be read."""
+    """JSON files of _PER_FILE profiles each; every tenth is cut off in the middle and cannot be read."""
     from folioforge.operators import schema
     from folioforge.sources.files import read_profiles
 
     path = _scratch(spark)
     rows = _enriched(spark, sf_dir)
-    rows = rows.select(F.col("cand_id").alias("file"), F.to_json(F.struct(*rows.columns)).alias("value"))
-    broken = F.substring("file", 3, 10).cast("int") % 10 == 3
-    rows = rows.select("file", F.when(broken, F.expr("substr(value, 1, length(value) - 40)")).otherwise(F.col("value")).alias("value"))
-    rows.repartition("file").write.option("compression", "none").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("file").text(path)
+    file = (F.substring("cand_id", 3, 10).cast("int") / _PER_FILE).cast("int").alias("file")
+    files = rows.select(file, F.to_json(F.struct(*rows.columns)).alias("one")).groupBy("file").agg(F.array_join(F.collect_list("one"), ",\n").alias("all"))
+    value = F.concat(F.lit("["), F.when(F.col("file") % 10 == 3, F.expr("substr(all, 1, length(all) - 40)")).otherwise(F.concat("all", F.lit("]"))))
+    files.select("file", value.alias("value")).repartition("file").write.option("compression", "none").partitionBy("file").text(path)
     found = read_profiles(spark, path, f"cand_id string, {schema.ENRICHED}", glob="*")
     return found.select("cand_id", "personal_information.full_name", "personal_information.email", F.size("education").cast("bigint").alias("educations"))
 
