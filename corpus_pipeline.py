@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the
 last return the columns of ``documents``; the last one returns the token ids of what is left.
+
+Defined results of every stage: an empty table gives an empty table with the same columns; extra
+columns pass through all stages but the last, whatever their names; rows that repeat in all
+columns are treated alike. What a stage makes of nulls, empty texts and ties stands at the stage.
 """
 
 from __future__ import annotations
@@ -9,32 +13,52 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import bpe, exact, minhash, mixing, quality
-from folioforge.llm.util import materialize
+from folioforge.llm import bpe, exact, minhash, mixing, quality, util
+
+#: Percent: documents that share so many of their five-word shingles are near copies.
+NEAR = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    It learns from ``docs`` and the labels at ``sf_dir``, and scores every text by itself: null and
+    empty texts get the score of a document without words, so they stay or go together. If there
+    are not both kinds of labels there is no classifier, and every document stays.
+    """
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays."""
+    """Of equal texts the document with the largest doc_id stays.
+
+    Texts are equal after lower-casing A-Z; a null text counts as empty, a null doc_id as the
+    smallest. Rows that repeat the doc_id and the text of the one that stays all stay; another
+    text under the same doc_id is another document.
+    """
     return exact.drop_exact_copies(docs)
 
 
-def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: int = minhash.THRESHOLD) -> DataFrame:
-    """One document of each group of near copies stays; ``threshold`` is the percentage of shared shingles."""
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: int = NEAR) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest doc_id.
+
+    ``threshold`` is the percentage of shared shingles. Texts without words and rows without
+    doc_id are near copies of nothing and stay.
+    """
     return minhash.drop_near_duplicates(docs, threshold=threshold)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are taken as often as their source's target asks for."""
+    """Documents are taken as often as their source's target asks for, at most twice; whole ones only.
+
+    A null source is a source of its own. Documents without words have no size and are not taken.
+    A document of the second epoch is a second, equal row.
+    """
     return mixing.apply_mix(docs)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens, ids_sha256, decoded_sha256."""
+    """doc_id, ids, n_tokens, ids_sha256, decoded_sha256 of every row; null and empty texts have no ids."""
     return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -50,15 +74,14 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str, near: int = minhash.THRESHOLD) -> DataFrame:
-    """All stages over ``documents``, each written and read again; ``near`` is the threshold of the near stage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        more = {"threshold": near} if name == "near" else {}
-        docs = materialize(stage(spark, docs, sf_dir, **more))
-    return STAGES[-1][1](spark, docs, sf_dir)
-
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again.
 
-def run_near80(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pipeline with near copies from a Jaccard index of 0.80."""
-    return run(spark, sf_dir, near=80)
+    When a stage's rows are written, the scratch tables it needed and its input are removed.
+    """
+    docs, others = spark.read.parquet(f"{sf_dir}/documents.parquet"), set(util.written())
+    for _, stage in STAGES[:-1]:
+        docs = util.materialize(stage(spark, docs, sf_dir))
+        *done, _ = [path for path in util.written() if path not in others]
+        util.remove(spark, done)
+    return STAGES[-1][1](spark, docs, sf_dir)
