@@ -180,7 +180,7 @@ def _open_pairs(side: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     fits = reach(F.least(F.col("x.most"), F.col("y.most")))
     by_class = F.aggregate(F.zip_with("x.counts", "y.counts", lambda p, q: F.least(p, q)), F.lit(0).cast("bigint"), lambda p, q: p + q)
     here = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
-    first = F.array_intersect("x.bands", "y.bands")[0] == F.col("x.key")
+    first = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.key")
     return x.join(y, here & fits & first & reach(by_class)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
 
 

@@ -303,7 +303,7 @@ def test_pipeline_against_brute_force(spark):
     for i in sorted(rows):
         last[lower(rows[i].text)] = i
     rows = {i: rows[i] for i in last.values()}
-    near = brute_components({i: r.text for i, r in rows.items()})
+    near = brute_components({i: r.text for i, r in rows.items()}, 80)
     rows = {i: r for i, r in rows.items() if near[i][1] == i}
     size = {i: len((r.text or "").encode().split()) for i, r in rows.items()}
     names = sorted({r.source for r in rows.values()}, key=lambda s: (s is None, s))
@@ -333,3 +333,37 @@ def test_pipeline_against_brute_force(spark):
         got[r.doc_id] = got.get(r.doc_id, 0) + 1
         assert r.decoded_sha256 == hashlib.sha256(rows[r.doc_id].text.encode()).hexdigest() and r.n_tokens * 4 == len(r.ids)
     assert got == times
+
+
+def test_stages_at_their_edges(spark, tmp_path):
+    """Nulls in any column, empty texts, ties, repeated rows, clashing columns, and an empty table."""
+    import corpus_pipeline
+
+    good, kind = "a quiet text about the river and the people who live beside it in the valley", "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(i, f"{good} number {i} " * 3, "en", "s" if i % 2 else None, 1) for i in range(12)]
+    rows += [(20, None, None, None, None), (21, "", "en", "s", 0), (None, good + " lone", "en", "s", 1), (22, rows[0][1].upper(), "en", "t", 1), (3, "another text under the id three of the table", "en", "s", 1)]
+    rows += [rows[1], rows[1], (30, rows[2][1] + " end", "en", "s", 1)]
+    clash = {c: F.lit(7) for c in ("_gone", "_id", "_times", "_copy", "row", "id", "own", "key", "digest", "copy", "size", "kept", "times", "score")}
+    docs = spark.createDataFrame(rows, kind).withColumns(clash)
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    seen = docs
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.filter("false"), str(tmp_path))
+        out = stage(spark, seen, str(tmp_path))
+        assert none.count() == 0
+        if name != "tokens":
+            assert out.columns == docs.columns == none.columns
+            seen = spark.createDataFrame(out.collect(), docs.schema)
+        texts = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in seen.collect())
+        if name == "quality":
+            assert len(texts) == len(rows)  # no labels, nothing to reject by
+        if name == "exact":
+            assert (False, 0, rows[0][1]) not in texts and (False, 22, rows[0][1].upper()) in texts and texts.count((False, 1, rows[1][1])) == 3
+            assert (False, 21, "") in texts and (False, 20, "") not in texts and len([t for t in texts if t[1] == 3]) == 2
+        if name == "near":
+            assert (False, 30, rows[2][1] + " end") not in texts and (False, 2, rows[2][1]) in texts and (False, 21, "") in texts
+            assert (True, 0, good + " lone") in texts
+        if name == "mixing":
+            assert all(t[2] for t in texts)
+    assert {r.doc_id for r in out.collect()} <= {r[0] for r in rows}

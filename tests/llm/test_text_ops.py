@@ -112,7 +112,7 @@ def sets(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute_components(texts):
+def brute_components(texts, percent=85):
     s = {i: sets(t) for i, t in texts.items()}
     parent = {i: i for i in s}
 
@@ -124,7 +124,7 @@ def brute_components(texts):
     ids = sorted(s)
     for x in ids:
         for y in ids:
-            if x < y and s[x] and s[y] and 100 * len(s[x] & s[y]) >= 85 * len(s[x] | s[y]):
+            if x < y and s[x] and s[y] and 100 * len(s[x] & s[y]) >= percent * len(s[x] | s[y]):
                 a, b = find(x), find(y)
                 parent[max(a, b)] = min(a, b)
     return {i: (len(s[i]), find(i)) for i in ids}
