@@ -18,7 +18,7 @@ PIECE = 1 << 21
 _PLACE_BITS = 26  # a place inside a piece; the rest of a sort key is hash
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_TABLE, _SECOND = (mix64(np.arange(i, i + 256, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) for i in (1, 1001))
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -28,13 +28,18 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(_BASE, PIECE + 4 * LENGTH), _powers(_INVERSE, PIECE + 4 * LENGTH)
 
 
-def _prefix(data: np.ndarray) -> np.ndarray:
+def _prefix(data: np.ndarray, table: np.ndarray = _TABLE) -> np.ndarray:
     """Prefix sums from which :func:`_span` gets the hash of any span."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _UP[: len(data)], out=sums[1:])
+    np.cumsum(table[data] * _UP[: len(data)], out=sums[1:])
     return sums
 
 
+def window_hashes(data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each of the first ``n`` windows."""
+    return tuple(_span(_prefix(data, t), slice(0, n), slice(LENGTH, LENGTH + n), _DOWN[:n]) for t in (_TABLE, _SECOND))
+
+
 def _span(sums: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice, down: np.ndarray) -> np.ndarray:
     """Polynomial hash of bytes start to end, wherever they stand."""
     return mix64((sums[end] - sums[start]) * down)

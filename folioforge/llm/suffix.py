@@ -8,13 +8,16 @@ brought together. Every window of LENGTH bytes belongs to a content-defined bloc
 ``anchors``); equal windows have the same anchor.
 
 1. Blocks are named by two 64-bit hashes (anchor, all bytes) and dealt by their anchor. Of blocks
-   with the same bytes all but the earliest are repeats as a whole.
+   with the same bytes all but the earliest are repeats as a whole; those inside one batch of rows
+   are found there, so of a block that any number of documents share only one leaves each batch.
 2. Where an anchor is left with several different blocks, their bytes are fetched and gathered,
    and the enhanced suffix array of each gathering gives the maximal repeats with all their
    places; all but the earliest place are repeats.
-3. Anchors with over HOT different blocks (a line that many documents share, between different
-   neighbours) are not gathered: their windows are dealt one by one, by hash, first occurrences
-   only.
+3. Anchors with over HOT different blocks, or over LOCAL_HOT in one batch (a line that many
+   documents share, between different neighbours), are not gathered: their windows are dealt one
+   by one, by 128 bits of hash, first occurrences only. Blocks of anchors that are hot in a batch
+   are dealt by all their bytes, and the anchor's part is told, so that no part gets more than
+   LOCAL_HOT blocks of one anchor from a batch.
 
 Defined results: a null text is empty; a text below LENGTH bytes loses nothing; rows without
 doc_id neither lose bytes nor make others lose any; rows that repeat a doc_id and its text count
@@ -40,10 +43,10 @@ from folioforge.llm.repeats import repeated_spans
 from folioforge.llm.shingles import mix64
 from folioforge.llm.util import bound_batches, materialize
 
-#: Text bytes whose blocks share a part of the shuffle, about.
-PART_BYTES = 12 << 20
-#: Different blocks with one anchor from which on its windows are dealt one by one.
-HOT = 512
+#: Text bytes whose blocks share a part of the shuffle, about; more where there would be more than MOST_PARTS.
+PART_BYTES, MOST_PARTS = 12 << 20, 100_000
+#: Different blocks with one anchor from which on its windows are dealt one by one: in all, and in one batch of rows.
+HOT, LOCAL_HOT = 512, 64
 #: Bytes whose suffixes are sorted at once.
 GATHER_BYTES = 3 << 19
 
@@ -112,8 +115,16 @@ def _later(start: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (doc != doc[first]) | (place != place[first])
 
 
-def _named_blocks(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, blob): blocks of the documents, packed for each part."""
+#: Kinds of rows: bytes that go, blocks to be gathered, blocks whose windows are dealt one by one, blocks, and hot anchors.
+GONE, GATHER, SINGLE, BLOCK, FLAG = range(5)
+
+
+def _named_blocks(docs: DataFrame, parts: int, local_hot: int) -> DataFrame:
+    """(part, kind, blob): blocks of the documents and what is known of them from one batch, packed for each part."""
+
+    def dealt(kind: int, key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        part = (key.view(_U64) % _U64(parts)).astype(_I64)
+        return ((p, kind, _pack(*c)) for p, c in _by_part(part, list(columns)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
@@ -124,16 +135,35 @@ def _named_blocks(docs: DataFrame, parts: int) -> DataFrame:
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
                 anchor, whole, start, windows = anchors.blocks(data, bounds)
                 text = np.searchsorted(bounds, start, side="right") - 1
-                found.append((anchor, whole, np.array(ids, _I64)[text], start - bounds[text] + np.array(offsets, _I64)[text], windows))
+                found.append((anchor.view(_I64), whole.view(_I64), np.array(ids, _I64)[text], start - bounds[text] + np.array(offsets, _I64)[text], windows))
             if not found:
                 continue
-            columns = [np.concatenate(z) for z in zip(*found, strict=True)]
-            part = (columns[0] % _U64(parts)).astype(_I64)
-            rows = [(p, _pack(c[0].view(_I64), c[1].view(_I64), *c[2:])) for p, c in _by_part(part, columns)]
+            columns = _sorted([np.concatenate(z) for z in zip(*found, strict=True)])
+            anchor, whole, doc, start, windows = columns
+            first = _starts(anchor, whole)
+            gone = _later(first, doc, start)
+            rows = []
+            if gone.any():
+                spans = _joined(doc[gone], start[gone], windows[gone] + LENGTH - 1)
+                rows += dealt(GONE, mix64(spans[0].view(_U64)), *spans)
+            columns = [c[first] for c in columns]
+            group = _starts(columns[0])
+            hot = np.bincount(np.cumsum(group) - 1)[np.cumsum(group) - 1] > local_hot if len(group) else group
+            rows += dealt(BLOCK, columns[0][~hot], *(c[~hot] for c in columns))
+            rows += dealt(SINGLE, columns[1][hot], *(c[hot] for c in columns))
+            rows += dealt(FLAG, columns[0][hot & group], columns[0][hot & group])
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "blob"])
+                kinds = (pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "kind", "blob"])
 
-    return docs.mapInArrow(run, "part int, blob binary")
+    return docs.mapInArrow(run, "part int, kind int, blob binary")
+
+
+def _sorted(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns anchor, whole, doc, start, windows in their order."""
+    anchor, whole, doc, start, _ = columns
+    order = np.lexsort((start, doc, whole, anchor))
+    return [c[order] for c in columns]
 
 
 _SPANS = "kind int, doc_id bigint, start bigint, length bigint, anchor bigint"
@@ -149,29 +179,33 @@ def _spans(kind: int, doc: np.ndarray, start: np.ndarray, length: np.ndarray, an
         )
 
 
-#: Kinds of rows: bytes that go, blocks to be gathered, blocks whose windows are dealt one by one.
-GONE, GATHER, SINGLE = 0, 1, 2
-
-
-def _compare_blocks(named: DataFrame) -> DataFrame:
+def _compare_blocks(named: DataFrame, most: int) -> DataFrame:
     """Rows of _SPANS: repeats of whole blocks, and what is to be looked at more closely."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        found: dict[int, list] = {}
+        found: dict[tuple[int, int], list] = {}
         for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.setdefault(part, []).append(_unpack(blob))
-        for part in list(found):
-            anchor, whole, doc, start, windows = (np.concatenate(z) for z in zip(*found.pop(part), strict=True))
-            order = np.lexsort((start, doc, whole, anchor))
-            anchor, whole, doc, start, windows = (c[order] for c in (anchor, whole, doc, start, windows))
+            for part, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                columns = _unpack(blob)
+                if kind == GONE:
+                    yield from _spans(GONE, *columns)
+                else:
+                    found.setdefault((part, kind), []).append(columns)
+        flags = {part: np.unique(np.concatenate([c[0] for c in rows])) for (part, kind), rows in found.items() if kind == FLAG}
+        for part, kind in [k for k in found if k[1] != FLAG]:
+            anchor, whole, doc, start, windows = _sorted([np.concatenate(z) for z in zip(*found.pop((part, kind)), strict=True)])
             block, group = _starts(anchor, whole), _starts(anchor)
             gone = _later(block, doc, start)
             yield from _spans(GONE, doc[gone], start[gone], windows[gone] + LENGTH - 1)
             number = np.cumsum(group) - 1
             variants = np.bincount(number[block])[number]
-            for kind, rows in ((GATHER, block & (variants > 1) & (variants <= HOT)), (SINGLE, block & (variants > HOT))):
-                yield from _spans(kind, doc[rows], start[rows], windows[rows] + LENGTH - 1, anchor[rows])
+            single = variants > most
+            if kind == SINGLE:
+                single = np.ones(len(anchor), bool)
+            elif part in flags:
+                single |= np.isin(anchor, flags[part])
+            for to, rows in ((GATHER, block & (variants > 1) & ~single), (SINGLE, block & single)):
+                yield from _spans(to, doc[rows], start[rows], windows[rows] + LENGTH - 1, anchor[rows])
 
     return named.mapInArrow(run, _SPANS)
 
@@ -179,11 +213,10 @@ def _compare_blocks(named: DataFrame) -> DataFrame:
 def _fetch(wanted: DataFrame, parts: int) -> DataFrame:
     """(part, kind, blob, raw): the bytes of the blocks to gather, and hashed windows of the others."""
 
-    def windows(text: bytes, start: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    def windows(text: bytes, start: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data = np.frombuffer(text, np.uint8, length, start)
         n = length - LENGTH + 1
-        sums = anchors._prefix(data)
-        return anchors._span(sums, slice(0, n), slice(LENGTH, LENGTH + n), anchors._DOWN[:n]), np.arange(start, start + n)
+        return *anchors.window_hashes(data, n), np.arange(start, start + n)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
@@ -195,8 +228,8 @@ def _fetch(wanted: DataFrame, parts: int) -> DataFrame:
                     if a["start"] + a["length"] > len(raw):
                         continue  # another row with this doc_id
                     if a["kind"] == SINGLE:
-                        h, at = windows(raw, a["start"], a["length"])
-                        single.append((h, np.full(len(at), d, _I64), at))
+                        h, g, at = windows(raw, a["start"], a["length"])
+                        single.append((h, g, np.full(len(at), d, _I64), at))
                     else:
                         doc.append(d)
                         place.append(a["start"])
@@ -211,8 +244,18 @@ def _fetch(wanted: DataFrame, parts: int) -> DataFrame:
                     blobs.append(_pack(np.array(anchor, _I64)[i], np.array(doc, _I64)[i], np.array(place, _I64)[i], np.array([len(body[k]) for k in rows], _I64)))
                     raws.append(zstandard.compress(b"".join(body[k] for k in rows), 1))
             if single:
-                h, d, at = (np.concatenate(z) for z in zip(*single, strict=True))
-                for p, c in _by_part((mix64(h) % _U64(parts)).astype(_I64), [h.view(_I64), d, at]):
+                h, g, d, at = (np.concatenate(z) for z in zip(*single, strict=True))
+                order = np.lexsort((at, d, g, h))
+                h, g, d, at = (c[order] for c in (h, g, d, at))
+                keep = ~_later(_starts(h, g), d, at)  # of equal windows the later ones are known to go
+                gone = _joined(d[~keep], at[~keep], np.full(int((~keep).sum()), LENGTH))
+                for p, c in _by_part((mix64(gone[0].view(_U64)) % _U64(parts)).astype(_I64), list(gone)):
+                    parts_.append(p)
+                    kinds.append(GONE)
+                    blobs.append(_pack(*c))
+                    raws.append(b"")
+                h, g, d, at = (c[keep] for c in (h, g, d, at))
+                for p, c in _by_part((mix64(h) % _U64(parts)).astype(_I64), [h.view(_I64), g.view(_I64), d, at]):
                     parts_.append(p)
                     kinds.append(SINGLE)
                     blobs.append(_pack(*c))
@@ -251,15 +294,17 @@ def _compare_bytes(fetched: DataFrame) -> DataFrame:
             for part, kind, blob, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == GATHER:
                     blocks.setdefault(part, []).append((_unpack(blob), zstandard.decompress(raw)))
+                elif kind == GONE:
+                    yield from _spans(GONE, *_unpack(blob))
                 else:
                     singles.setdefault(part, []).append(_unpack(blob))
         for part in list(blocks):
             yield from gathered(blocks.pop(part))
         for part in list(singles):
-            h, doc, place = (np.concatenate(z) for z in zip(*singles.pop(part), strict=True))
-            order = np.lexsort((place, doc, h))
-            h, doc, place = h[order], doc[order], place[order]
-            gone = _later(_starts(h), doc, place)
+            h, g, doc, place = (np.concatenate(z) for z in zip(*singles.pop(part), strict=True))
+            order = np.lexsort((place, doc, g, h))
+            h, g, doc, place = (c[order] for c in (h, g, doc, place))
+            gone = _later(_starts(h, g), doc, place)
             yield from _spans(GONE, *_joined(doc[gone], place[gone], np.full(int(gone.sum()), LENGTH)))
 
     return fetched.mapInArrow(run, _SPANS)
@@ -282,9 +327,9 @@ def _joined(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.
     return doc[cut], start[cut], reach[last] - shift[last] - start[cut]
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, local_hot: int = LOCAL_HOT) -> DataFrame:
     """(doc_id, start, length): spans of bytes to remove; they may overlap."""
-    spans, more = _find(docs, id_col, text_col)
+    spans, more = _find(docs, id_col, text_col, hot, local_hot)
     return spans.unionByName(more)
 
 
@@ -292,13 +337,13 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def _find(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _find(docs: DataFrame, id_col: str, text_col: str, hot: int, local_hot: int) -> tuple[DataFrame, DataFrame]:
     bound_batches(docs.sparkSession)
     texts = _texts(docs, id_col, text_col).filter("doc_id is not null")
     total = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
-    named = _named_blocks(texts, parts).repartitionById(parts, F.col("part"))
-    close = materialize(_compare_blocks(named))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-total // PART_BYTES)))
+    named = _named_blocks(texts, parts, local_hot).repartitionById(parts, F.col("part"))
+    close = materialize(_compare_blocks(named, hot))
     ask = close.filter(F.col("kind") != GONE).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "start", "length", "anchor")).alias("asked"))
     wanted = texts.join(ask, "doc_id").select("doc_id", "text", "asked")
     fetched = _fetch(wanted, parts).repartitionById(parts, F.col("part"))
@@ -306,9 +351,9 @@ def _find(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     return close.filter(F.col("kind") == GONE).select(*cols), _compare_bytes(fetched).select(*cols)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: bool = True, hot: int = HOT, local_hot: int = LOCAL_HOT) -> DataFrame:
     """One row per document: doc_id, kept (the bytes that stay), n_bytes, n_removed, n_spans, kept_sha256."""
-    spans, more = _find(docs, id_col, text_col)
+    spans, more = _find(docs, id_col, text_col, hot, local_hot)
     gone = spans.unionByName(more).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("gone"))
     texts = _texts(docs, id_col, text_col)
     rows = texts.filter("doc_id is not null").join(gone, "doc_id", "left").select("doc_id", "text", "gone")
