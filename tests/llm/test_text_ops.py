@@ -222,12 +222,25 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [0, 512])
-def test_repeated_bytes(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix, "HOT", hot)
+def test_a_line_that_many_documents_share(spark):
+    """Between different neighbours, over many batches, some of which hold many of them and some few."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = " ".join(word() for _ in range(40))
+    rows = []
+    for i in range(120):
+        own = [" ".join(word() for _ in range(rng.randint(5, 30))) for _ in range(2)]
+        rows.append((i, f"{own[0]} {line} {own[1]}" if i < 60 or i % 10 == 0 else " ".join(own)))
+    docs = table(spark, rows).repartitionByRange(6, "doc_id")
+    out = {r.doc_id: r for r in suffix.remove_repeats(docs, local_hot=5).collect()}
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for i, r in out.items()} == brute_repeats(dict(rows), 100)
+
+
+@pytest.mark.parametrize(("hot", "local"), [(0, 64), (512, 64), (512, 2), (512, 0)])
+def test_repeated_bytes(spark, hot, local):
     rows = noisy(4, 80) + [(1000 + i, t) for i, t in ODD if i != 3] + [(2000, "ab" * 300)]
     want = brute_repeats(dict(rows), 100)
-    out = {r.doc_id: r for r in suffix.remove_repeats(table(spark, rows)).collect()}
+    out = {r.doc_id: r for r in suffix.remove_repeats(table(spark, rows), hot=hot, local_hot=local).collect()}
     assert {i: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for i, r in out.items()} == want
     assert all(r.kept_sha256 == hashlib.sha256(r.kept).hexdigest() for r in out.values())
 
