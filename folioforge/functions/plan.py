@@ -22,3 +22,12 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)``, where ``value`` is computed once however often ``use`` names it."""
     return F.transform(F.array(value), use)[0]
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a table as it is read, dealt over all cores if they come in fewer parts than there are cores.
+
+    Large tables come in enough parts and are left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

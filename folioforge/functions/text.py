@@ -99,8 +99,10 @@ def count_bullets(text: Column) -> Column:
     return _removed(text, BULLETS).cast("bigint")
 
 
-#: White space as str.split sees it, for a character class; the regex flag for all of Unicode would do the same, much slower.
-_BLANK = r"\t\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: White space as str.split sees it, but for the line feed: as characters, and for a character class, where single
+#: characters of one byte are looked up in a table and others are compared one by one.
+_BLANKS = "\t\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK = r"\t\x0B\f\r \x1C\x1D\x1E\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}-\x{2029}\x{202F}\x{205F}\x{3000}"
 _SPACE = rf"[\n{_BLANK}]"
 
 
@@ -172,7 +174,7 @@ def line_count(text: Column) -> Column:
 
 def trim_all(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(F.regexp_replace(text, rf"\A{_SPACE}+", ""), rf"(?<!{_SPACE}){_SPACE}++\z", "")
+    return F.btrim(text, F.lit("\n" + _BLANKS))
 
 
 def present(text: Column) -> Column:

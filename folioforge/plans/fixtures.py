@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.functions.plan import spread
+
 NOISY = """
 select doc_id, lang, case cast(doc_id % 8 as int)
   when 1 then concat('\u2022 \u201cpro\ufb01le\u201d \u2013 \uff26\uff35\uff2c\uff2c \u2460 ', text)
@@ -99,7 +101,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def noisy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql(spark, sf_dir, NOISY, "documents")
+    return spark.sql(NOISY, documents=spread(documents(spark, sf_dir).select("doc_id", "lang", "text")))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +195,7 @@ from {{publications}} x cross join {MODELS} m
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, attempt, response): three attempts for each order, in ten kinds of correctness."""
-    return sql(spark, sf_dir, RESPONSES, "orders")
+    return spark.sql(RESPONSES, orders=spread(_tables(spark, sf_dir, "orders")["orders"].select("o_orderkey", "o_custkey", "o_orderpriority")))
 
 
 #: The kind is (o_orderkey + attempt * 3) % 10.
@@ -216,7 +218,7 @@ from (select o_orderkey, concat('Clerk#', cast(o_custkey as string)) as o_clerk,
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql(spark, sf_dir, REFERENCES, "documents")
+    return spark.sql(REFERENCES, documents=spread(documents(spark, sf_dir).select("doc_id", "text")))
 
 
 #: Whole texts in ASCII.
