@@ -970,3 +970,10 @@ def r10_r11_score_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r12_summarise_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = record_eval.summarise_models(record_eval.score_profiles(_dealt(_pairs(spark, sf_dir))))
     return summary.select("model", *[F.round(c, 9).alias(c) for c in record_eval.SCORES])
+
+
+# Names under which queries over whole texts and all rows are known as well.
+for _name in ("s2_decode_lenient", "t1_token_f1", "t2_t3_edit_distance", "t4_bleu", "t5_pair_texts", "t6_score_texts", "t7_summarise_tools", "t8_rank_tools", "t9_metric_series"):
+    QUERIES[f"{_name}_whole"] = QUERIES[_name]
+    if _name in ORACLE_SQL:
+        ORACLE_SQL[f"{_name}_whole"] = ORACLE_SQL[_name]
