@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.util import Memo, map_batches, strings
 
-#: Entries of each of the two memo tables of a Python worker.
-MEMO_WORDS, MEMO_PAIRS = 150_000, 150_000
+#: Entries of the memo tables of a Python worker: words, other pieces, pairs of adjacent tokens.
+MEMO_WORDS, MEMO_PIECES, MEMO_PAIRS = 100_000, 60_000, 60_000
 _MARKS = ".,;:!?%$#&*()"
 _USUAL = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
 _ODD_SPACE = re.compile(r" \s|\s |^ | $")
@@ -60,7 +60,7 @@ class BytePairCoder:
                 self._split(rank, token)
         self.fits = Memo(lambda pair: self._adjacent(pair >> 32, pair & 0xFFFFFFFF), MEMO_PAIRS)
         self.words = Memo(self._encode_word, MEMO_WORDS)
-        self.pieces = Memo(self._encode_piece, MEMO_WORDS)
+        self.pieces = Memo(self._encode_piece, MEMO_PIECES)
 
     def _shorter(self) -> list[int]:
         """For each token, the longest other token that starts it, or -1."""
