@@ -9,10 +9,10 @@ order of bigrams has a pivot in the other's prefix.
 
 Position limits: the edit lies behind the surviving gram, or before it. Behind it, the gram stands
 at the same place from the start, and everything up to it is the same; before it, at the same
-place from the end, with everything after it the same. So prefixes are indexed by the gram with the
-part before it and the word's length, and by the gram with the part after it; pivots look both up
-for the three lengths possible. A gram that most words share is split by its surroundings that way.
-Every pair found is then verified.
+place from the end, with everything after it the same. So prefixes are indexed by the gram, its place
+and the word's length together with what the edit leaves alone, over half of the word in any case,
+and pivots look that up for the three lengths possible. A gram that most words share is split by its
+surroundings that way. Every pair found is then verified.
 
 Of a gram that ends a prefix and occurs again in the word, five places are indexed: the edit makes
 at most two new ones, and the other word's prefix may hold three.
@@ -47,6 +47,8 @@ TIMES = 10
 GRAM, EDITS = 2, 1
 #: Grams of a prefix, and places of its last gram that are indexed.
 PREFIX, PLACES = GRAM * EDITS + 1, GRAM * EDITS + 3
+#: Share of a word that a key holds at least.
+ENOUGH = 0.6
 #: Characters of a text that are read at once, and words that a task counts before it hands them on.
 PIECE, MOST_COUNTED = 1 << 20, 200_000
 _SPLIT = re.compile(r"[^A-Za-zÀ-ÿ]")
@@ -137,12 +139,33 @@ def pivots(grams: list[tuple[int, int]], need: int = EDITS + 1) -> list[int]:
     return best[-1][need][1]
 
 
-def _surroundings(word: str, place: int, lengths: Iterable[int]) -> Iterator[int]:
-    """Keys of a gram with all that goes before it, and with all that comes after it, for words of some lengths."""
-    for side, part in (("<", word[: place + GRAM]), (">", word[place:])):
-        raw = part.encode()
-        for n in lengths:
-            yield xxhash.xxh3_64_intdigest(raw, n * 2 + (side == "<")) - (1 << 63)
+def _surroundings(word: str, place: int, n: int) -> Iterator[int]:
+    """Keys of the gram at ``place`` of a word with what the edit leaves alone, for a partner of ``n`` characters.
+
+    If the edit lies behind the gram, that is all up to its end. Where this is little of the word, what
+    lies behind is halved, and the edit leaves one of the halves alone as well. The same from the other
+    end if the edit lies before the gram. Where to halve follows from the partner's length and the
+    gram's place in the partner, so both get the same keys.
+    """
+    own = len(word)
+    key = lambda side, at, part: xxhash.xxh3_64_intdigest(part.encode(), n << 32 | at << 3 | side) - (1 << 63)
+    end = place + GRAM
+    if end <= n:
+        if end >= ENOUGH * n or end >= n - 1:
+            yield key(0, place, word[:end])
+        else:
+            half = (end + n) // 2
+            yield key(1, place, word[:half])
+            yield key(2, place, word[:end] + "\n" + word[own - n + half :])
+    begin = place + n - own
+    if begin >= 0:
+        rest = word[place:]
+        if len(rest) >= ENOUGH * n or begin <= 1:
+            yield key(3, begin, rest)
+        else:
+            half = begin // 2
+            yield key(4, begin, word[own - n + half :])
+            yield key(5, begin, word[:half] + "\n" + rest)
 
 
 def gram_keys(words: DataFrame, order: dict[str, tuple[int, int]], own: bool) -> DataFrame:
@@ -160,7 +183,7 @@ def gram_keys(words: DataFrame, order: dict[str, tuple[int, int]], own: bool) ->
                     places, lengths = [i for _, i in found], (n,)
                 else:
                     places, lengths = pivots([(i, order[word[i : i + GRAM]][1]) for _, i in found[:PREFIX]]), (n - 1, n, n + 1)
-                keys.append([k for i in places for k in _surroundings(word, i, lengths)])
+                keys.append([k for i in places for m in lengths for k in _surroundings(word, i, m)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lasts, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["word", "n", "last", "keys"])
 
     out = words.select("word", "n").mapInArrow(run, "word string, n bigint, last int, keys array<bigint>")
