@@ -17,7 +17,6 @@ give repeated results, an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import re
 import struct
@@ -176,8 +175,6 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
         c = coder(shared.value, pattern)
         Memo.keep_only(c.words, c.pieces, c.fits)
 
-        gc.disable()  # nothing here makes cycles, and the memo tables are costly to traverse
-
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             coded, counts, digests, decoded = [], [], [], []
             for text in strings(batch.column(1)):

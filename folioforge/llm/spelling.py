@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.util import bound_batches, materialize, remove, written
+from folioforge.llm.util import bound_batches, materialize, own_tables, release_memory, remove
 
 RUN = r"[A-Za-zÀ-ÿ]"
 LEAST_LENGTH, LEAST_COUNT = 7, 2
@@ -82,6 +82,7 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        release_memory()
         counts: dict[str, int] = {}
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -217,7 +218,13 @@ def roots(forms: DataFrame) -> DataFrame:
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", times: int = TIMES) -> DataFrame:
     """One row per word: word, form, root, n, n_near, form_n."""
-    spark, others = docs.sparkSession, set(written())
+    with own_tables() as made:
+        result = materialize(_variants(docs, id_col, text_col, times))
+        remove(docs.sparkSession, made[:-1])
+    return result
+
+
+def _variants(docs: DataFrame, id_col: str, text_col: str, times: int) -> DataFrame:
     words = materialize(word_counts(docs, id_col, text_col))
     pairs = materialize(near_pairs(words))
     links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb")))
@@ -227,7 +234,4 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ti
     is_form = -F.col("best.less") >= times * F.col("n")
     rows = materialize(rows.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(is_form, F.col("best.form")).alias("form"), F.when(is_form, -F.col("best.less")).alias("form_n")))
     ends = roots(rows.filter("form is not null"))
-    out = rows.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
-    result = materialize(out)
-    remove(spark, [p for p in written() if p not in others][:-1])
-    return result
+    return rows.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

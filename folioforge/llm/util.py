@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import weakref
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,8 +38,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-#: Folders of scratch tables that this process wrote and did not remove.
+#: Folders of scratch tables that this process wrote and did not remove, and the lists of those who asked for theirs.
 _written: list[str] = []
+_asking: ContextVar[tuple[list[str], ...]] = ContextVar("asking", default=())
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -46,7 +51,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
-    _written.append(path)
+    for paths in (_written, *_asking.get()):
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,13 +62,25 @@ def written() -> list[str]:
     return list(_written)
 
 
+@contextlib.contextmanager
+def own_tables() -> Iterator[list[str]]:
+    """A list of the scratch tables that this thread writes inside the block, in order, without those removed there."""
+    mine: list[str] = []
+    token = _asking.set((*_asking.get(), mine))
+    try:
+        yield mine
+    finally:
+        _asking.reset(token)
+
+
 def remove(spark: SparkSession, paths: Iterable[str]) -> None:
     """Remove scratch tables from the shared folder. Nothing that is still to be read may depend on them."""
-    for path in paths:
+    for path in list(paths):
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        if path in _written:
-            _written.remove(path)
+        for known in (_written, *_asking.get()):
+            if path in known:
+                known.remove(path)
 
 
 def ascii_lower(col: Column) -> Column:
@@ -124,6 +142,14 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
+def release_memory() -> None:
+    """Give back what earlier tasks of this Python worker freed but the allocators kept."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do without
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function that is made once per task."""
 
@@ -131,6 +157,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         fn = make()
+        release_memory()
         for batch in batches:
             if batch.num_rows:
                 yield fn(batch)

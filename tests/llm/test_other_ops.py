@@ -367,3 +367,27 @@ def test_stages_at_their_edges(spark, tmp_path):
         if name == "mixing":
             assert all(t[2] for t in texts)
     assert {r.doc_id for r in out.collect()} <= {r[0] for r in rows}
+
+
+def test_two_pipelines_at_once(spark):
+    """Each removes its own scratch tables only."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    import corpus_pipeline
+    from folioforge.llm import util
+
+    others = set(util.written())
+    keep = util.materialize(spark.range(3))
+    with ThreadPoolExecutor(2) as pool:
+        first, second = pool.map(lambda _: sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect()), range(2))
+    assert first == second and first and keep.count() == 3
+    assert len(set(util.written()) - others) == 3  # the one above and the input of each last stage
+
+
+def test_workers_keep_their_collector(spark):
+    import gc
+
+    from folioforge.llm import bpe
+
+    bpe.encode_texts(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert all(r.on for r in spark.range(8).mapInPandas(lambda parts: (p.assign(on=gc.isenabled())[["on"]] for p in parts), "on boolean").collect())
