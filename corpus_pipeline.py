@@ -79,9 +79,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     When a stage's rows are written, the scratch tables it needed and its input are removed.
     """
-    docs, others = spark.read.parquet(f"{sf_dir}/documents.parquet"), set(util.written())
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
-        docs = util.materialize(stage(spark, docs, sf_dir))
-        *done, _ = [path for path in util.written() if path not in others]
-        util.remove(spark, done)
+        with util.own_tables() as made:
+            docs = util.materialize(stage(spark, docs, sf_dir))
+            util.remove(spark, [*before, *made[:-1]])
+        before = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
