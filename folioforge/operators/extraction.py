@@ -22,22 +22,29 @@ def choose_extraction(candidates: DataFrame, min_length: int = MIN_LENGTH) -> Da
 
 
 def assemble_pages(pages: DataFrame, skip_blank: bool = False) -> DataFrame:
-    """(doc_id, text): pages in order, one below the other, trimmed; blank pages are kept or left out."""
-    kept = pages.filter(trim_all(F.col("text")) != "") if skip_blank else pages
-    parts = F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("text"))))
+    """(doc_id, text): pages in order, one below the other, trimmed; blank pages are kept or left out.
+
+    Every document has a row: one whose pages are all blank has an empty text.
+    """
+    page = F.struct("page_no", F.coalesce("text", F.lit("")).alias("text"))
+    if skip_blank:
+        page = F.when(trim_all(F.coalesce("text", F.lit(""))) != "", page)  # null is not collected
+    parts = F.array_sort(F.collect_list(page))
     joined = F.array_join(F.transform(parts, lambda p: p["text"]), "\n")
-    return kept.groupBy("doc_id").agg(trim_all(joined).alias("text"))
+    return pages.groupBy("doc_id").agg(trim_all(joined).alias("text"))
 
 
 def assemble_blocks(blocks: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     """(doc_id, text, engine) from paragraphs and table cells (kind, row_no, cell_no, text).
 
     Paragraphs come first, then table rows, whose cells are joined by ' | '; blank parts are left out.
+    Every document has a row: one without enough text has failed.
     """
-    parts = blocks.withColumn("text", trim_all(F.coalesce("text", F.lit("")))).filter("text <> ''")
-    cells = F.array_sort(F.collect_list(F.struct("cell_no", "text")))
+    parts = blocks.withColumn("text", trim_all(F.coalesce("text", F.lit(""))))
+    cells = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("cell_no", "text"))))
     rows = parts.groupBy("doc_id", "kind", "row_no").agg(F.array_join(F.transform(cells, lambda c: c["text"]), " | ").alias("line"))
-    lines = F.array_sort(F.collect_list(F.struct((F.col("kind") != "paragraph").alias("table"), "row_no", "line")))
+    line = F.struct((F.col("kind") != "paragraph").alias("table"), "row_no", "line")
+    lines = F.array_sort(F.collect_list(F.when(F.col("line") != "", line)))
     docs = rows.groupBy("doc_id").agg(trim_all(F.array_join(F.transform(lines, lambda c: c["line"]), "\n")).alias("text"))
     good = F.length("text") >= min_length
     return docs.select("doc_id", F.when(good, F.col("text")).otherwise("").alias("text"), F.when(good, "blocks").otherwise(FAILED).alias("engine"))

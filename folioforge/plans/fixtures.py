@@ -109,13 +109,15 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as pages, some of them blank; of every eleventh document all are."""
     lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("page_no", "text"))
-    return lines.withColumn("text", F.when((F.col("doc_id") + F.col("page_no")) % 7 == 3, "  ").otherwise(F.col("text")))
+    return lines.withColumn("text", F.when(((F.col("doc_id") + F.col("page_no")) % 7 == 3) | (F.col("doc_id") % 11 == 5), "  ").otherwise(F.col("text")))
 
 
 def block_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as paragraphs; every fourth one as a table row with a cell for each word."""
-    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("row_no", "line"))
+    """Lines as paragraphs; every fourth one as a table row with a cell for each word. Every eleventh document is blank."""
+    text = F.when(F.col("doc_id") % 11 == 5, " \n ").otherwise(F.col("text"))
+    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split(text, "\n")).alias("row_no", "line"))
     table = F.col("row_no") % 4 == 3
     cells = F.when(table, F.split("line", " ")).otherwise(F.array("line"))
     return lines.select("doc_id", F.when(table, "table").otherwise("paragraph").alias("kind"), "row_no", F.posexplode(cells).alias("cell_no", "text"))
@@ -221,8 +223,7 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(REFERENCES, documents=spread(documents(spark, sf_dir).select("doc_id", "text")))
 
 
-#: Whole texts in ASCII.
-REFERENCES = "select doc_id, regexp_replace(text, '[^ -~]', ' ') as gt from {documents}"
+REFERENCES = "select doc_id, text as gt from {documents}"
 
 
 def tool_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import unify_line_ends
 from folioforge.operators import schema
+from folioforge.sources.batches import Batches, content_key
+from folioforge.sources.registry import Registry
 
-REGISTRY = "doc_id string, content_hash string"
 SUFFIXES = (".pdf", ".docx")
 
 
@@ -50,23 +50,14 @@ def scan_files(spark: SparkSession, path: str | Sequence[str], suffixes: Sequenc
     return files.select(_stem().alias("doc_id"), "path", "length", F.when(good, "ok").otherwise("unsupported").alias("status"), F.when(good, F.col("content")).alias("content"))
 
 
-def read_registry(spark: SparkSession, path: str, without_batch: int | None = None) -> DataFrame:
+def read_registry(spark: SparkSession, path: str, without_batch: str | None = None) -> DataFrame:
     """The registry of content hashes, but for those of one batch; empty if there is none yet."""
-    try:
-        rows = spark.read.schema(f"{REGISTRY}, batch bigint").parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], REGISTRY)
-    if without_batch is not None:
-        rows = rows.filter(F.col("batch") != without_batch)
-    return rows.select("doc_id", "content_hash")
+    return Registry(spark, path).rows(without_batch)
 
 
-def append_registry(entries: DataFrame, path: str) -> None:
-    """Add rows to the registry; what streams write lies in batches of its own."""
-    rows = entries.select(F.col("doc_id").cast("string").alias("doc_id"), "content_hash", F.lit(-1).alias("batch"))
-    rows.write.mode("append").partitionBy("batch").parquet(path)
+def append_registry(entries: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add rows to the registry, in place of an earlier batch of that key; without a key, equal rows are added once."""
+    Registry(entries.sparkSession, path).append(entries, batch)
 
 
 def write_profiles(profiles: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -84,5 +75,20 @@ def write_documents(docs: DataFrame, path: str, mode: str = "overwrite") -> None
     docs.select("doc_id", "text").write.mode(mode).parquet(path)
 
 
-def write_quarantine(rows: DataFrame, path: str, mode: str = "append") -> None:
-    rows.write.mode(mode).parquet(path)
+def write_quarantine(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Responses that are not valid, as the batch ``batch``, in place of an earlier try of it.
+
+    Without a key it follows from the rows, so a job that runs again leaves the same rows.
+    """
+    spark, kind = rows.sparkSession, rows.schema
+    key = batch if batch is not None else lambda to: content_key(spark.read.schema(kind).parquet(to), kind.names)
+    Batches(spark, path).publish(key, lambda to: rows.write.parquet(to))
+
+
+def read_quarantine(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """What lies in quarantine; ``kind`` says which columns."""
+    return Batches(spark, path).read(kind)
+
+
+def compact_quarantine(spark: SparkSession, path: str, kind: str, files: int = 1) -> None:
+    Batches(spark, path).compact(kind, files)
