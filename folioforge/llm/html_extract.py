@@ -46,8 +46,6 @@ SAMPLE_PAGES, SAMPLE_CHARS = 200, 100_000
 NEXT, PARENT, GRANDPARENT = 1.0, 0.8, 0.3
 #: The log-odds of the text alone lie within this.
 TEXT_LIMIT = 3.5
-#: Part of the page's text from which on an element may be a frame around the page.
-FRAME_SHARE = 0.5
 
 # Elements and words of the markup.
 HIDDEN = frozenset("script style template noscript iframe object svg math canvas textarea select button head title".split())
@@ -300,25 +298,14 @@ def _weigh(found: list[Block], tree: Tree) -> None:
     """Set the costs of what lies around each block.
 
     Costs add up on the way down. A part that speaks against content ends what an article around
-    it says; an article in such a part counts by half. Parts that hold most of the page's text,
-    with nothing outside that speaks for content, cost nothing.
+    it says; an article in such a part counts by half. Frames around the page cost nothing.
     """
     n = len(tree.up)
-    size, fine = [0] * n, [0] * n  # characters outside links, and those of them in what speaks for content
-    speaks = [False] * n
-    for i in range(1, n):
-        speaks[i] = tree.land[i] > 0 or tree.good[i] > 0 or (speaks[tree.up[i]] and not (tree.land[i] < 0 or tree.bad[i]))
-    for b in found:
-        own = len(b.text) - b.linked
-        size[b.place] += own
-        fine[b.place] += own * speaks[b.place]
-    for i in range(n - 1, 0, -1):
-        size[tree.up[i]] += size[i]
-        fine[tree.up[i]] += fine[i]
+    frame = _frames(found, tree)
     land, bad, good = [0.0] * n, [0.0] * n, [0.0] * n
     for i in range(1, n):
         up, own, marks = tree.up[i], tree.land[i], tree.bad[i]
-        if (own < 0 or marks) and own > HIDDEN_COST and size[i] > FRAME_SHARE * size[0] and fine[0] == fine[i]:
+        if frame[i]:
             own, marks = max(own, 0.0), 0.0
         outer, bad[i], good[i] = land[up], bad[up] + marks, max(good[up], tree.good[i])
         if tree.tag[i] == "header" and outer > 0 and not marks:
@@ -332,6 +319,46 @@ def _weigh(found: list[Block], tree: Tree) -> None:
         b.land, b.bad, b.good = land[b.place], min(bad[b.place], 3.0), good[b.place]
 
 
+def _frames(found: list[Block], tree: Tree) -> list[bool]:
+    """Which elements are frames around the page, told by what they hold, however long it is.
+
+    An element whose names speak against content is one if it holds the page's headline (its first h1,
+    or else h2, outside of landmarks) and all that speaks for content, such as an article; where names of
+    both kinds meet in one element, the headline is enough. Any element,
+    landmarks too, is one if all of the page is in it: boilerplate of its own, an h1 or h2, and paragraphs.
+    """
+    n = len(tree.up)
+    against = [tree.land[i] < 0 or tree.bad[i] > 0 for i in range(n)]
+    speaks, inside = [False] * n, [False] * n  # for content; in a landmark that speaks against it
+    for i in range(1, n):
+        own = tree.land[i] > 0 and not tree.bad[i] or tree.land[i] >= 0 and tree.good[i] > 0
+        speaks[i] = own or speaks[tree.up[i]] and not against[i]
+        inside[i] = tree.land[i] < 0 or inside[tree.up[i]]
+    whole, fine, heads, paragraphs, boilerplate, top = ([0] * n for _ in range(6))
+    first: tuple[str, int] | None = None
+    for b in found:
+        size, heading = len(b.text), b.tag in ("h1", "h2")
+        whole[b.place] += size
+        fine[b.place] += size * speaks[b.place]
+        heads[b.place] += heading
+        paragraphs[b.place] += b.tag == "p"
+        boilerplate[b.place] += 2 * b.linked > size
+        if heading and not inside[b.place] and (first is None or b.tag < first[0]):
+            first = (b.tag, b.place)
+    if first:
+        top[first[1]] = 1
+    for i in range(n - 1, 0, -1):
+        for column in (whole, fine, heads, paragraphs, boilerplate, top):
+            column[tree.up[i]] += column[i]
+        boilerplate[tree.up[i]] += against[i]
+    return [
+        against[i]
+        and tree.land[i] > HIDDEN_COST
+        and ((tree.land[i] >= 0 and top[i] > 0 and fine[i] == fine[0] and (fine[i] > 0 or tree.bad[i] < 1)) or (whole[i] == whole[0] and heads[i] > 0 and paragraphs[i] > 0 and boilerplate[i] > 0))
+        for i in range(n)
+    ]
+
+
 #: Weights where nothing is learned: bias, words, linked share, marks a word, heading, list item, paragraph, and the names around.
 START = np.array([-1.0, 0.5, -3.0, 1.0, 0.3, -0.5, 0.5, -3.5, 2.0])
 #: How many of them belong to the text itself.
@@ -430,7 +457,8 @@ def label(found: list[Block], tree: Tree, weights: np.ndarray) -> list[bool]:
         up = b.box
         for cost in (PARENT, GRANDPARENT):
             up = tree.box_up[up]
-            if up:  # not for what stands right below the page itself
+            below_page = tree.tag[up] in ("html", "body")  # there only what is text of its own, and nothing speaks against
+            if up and (not below_page or cost == PARENT and b.land >= 0 and not b.bad):
                 key = (cost == PARENT, up)
                 if key in last:
                     edges.append((last[key], i, cost))

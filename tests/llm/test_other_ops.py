@@ -94,6 +94,49 @@ def test_ordinary_names_do_not_decide(html):
     assert html_extract.main_text(html, html_extract.START).split("\n\n") == READ
 
 
+LONG = "".join(f"<p>Paragraph {i} of a part that goes on and on, with sentences, commas, and all that a text has.</p>" for i in range(30))
+PARTS = [
+    f'<div id="comments">{LONG}</div>',
+    f'<section class="comments"><h3>Comments</h3><article class="comment">{LONG}</article></section>',
+    f"<footer>{LONG}</footer>",
+    f"<aside>{LONG}</aside>",
+    f'<aside><h2>Other news</h2>{LONG}</aside>',
+    f'<div class="sidebar">{LONG}</div>',
+    f'<div class="cookie-consent" role="dialog">{LONG}</div>',
+    f"<form>{LONG}</form>",
+    f'<div class="related"><h3>More to read</h3>{LONG}</div>',
+    f'<div class="related-posts"><article><h3>A card</h3>{LONG}</article></div>',
+    f'<div class="newsletter"><h2>Letters</h2>{LONG}</div>',
+    f"<header>{LONG}</header>",
+    f'<div role="complementary">{LONG}</div>',
+]
+
+
+@pytest.mark.parametrize("part", PARTS)
+@pytest.mark.parametrize("around", ["<div>{}</div>", "{}", '<div class="content">{}</div>', "<article>{}</article>", "<div><div>{}</div></div>"])
+def test_boilerplate_is_left_out_however_long_it_is(part, around):
+    for page in (f"<body>{MENU}{around.format(ARTICLE)}{part}", f"<body>{MENU}{part}{around.format(ARTICLE)}<footer>Imprint</footer>"):
+        assert html_extract.main_text(page, html_extract.START).split("\n\n") == READ
+
+
+@pytest.mark.parametrize("part", PARTS)
+def test_boilerplate_without_an_article(part):
+    assert html_extract.main_text(f"<body>{part}", html_extract.START) == ""
+    assert html_extract.main_text(f"<body>{MENU}{part}", html_extract.START) == ""
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f'<body><div class="modal-page">{MENU}<div>{ARTICLE}</div><div class="comments">{LONG}</div></div>',
+        f'<body><div id="widget"><div class="menu">{MENU}</div><article>{ARTICLE}</article></div><aside>{LONG}</aside>',
+        f'<body><form id="page"><header>Site</header>{MENU}<div>{ARTICLE}</div><footer>{LONG}</footer></form>',
+    ],
+)
+def test_frames_are_told_by_what_they_hold(html):
+    assert html_extract.main_text(html, html_extract.START).split("\n\n") == READ
+
+
 def test_broken_quotes():
     text = lambda html: html_extract.main_text(f"<article>{html}</article>", html_extract.START)
     assert text('<p title="a>Hello there, reader of this page.</p><p>World of words, and more.</p>') == "Hello there, reader of this page.\n\nWorld of words, and more."
