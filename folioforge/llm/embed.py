@@ -28,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -209,30 +208,61 @@ def cross_links(signed: DataFrame, homes: DataFrame, threshold: float = THRESHOL
     apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cosine"))))
     pairs = materialize(pairs.filter(apart <= F.lit(reach) + F.col("ra") + F.col("rb")))
 
+    alone = (F.col("ma") == 1) & (F.col("mb") == 1)  # balls of one vector: their cosine is the answer
+    copies = signed.select("rep", "copies")
+    close = materialize(pairs.filter(alone & (F.col("cosine") >= threshold)).select("a", "b"))
+    single = [close.join(copies.withColumnRenamed("rep", y), y).select("a", "b", F.col(x).alias("rep"), F.col("copies").alias("links")) for x, y in (("a", "b"), ("b", "a"))]
+
     members = signed.select("rep", "copies", "unit").join(homes.select("rep", "ball"), "rep")
     blocks = lambda m: F.sequence(F.lit(0), ((F.col(m) - 1) / BLOCK).cast("int"))
-    grid = pairs.select("a", "b", "mb", F.explode(blocks("ma")).alias("i")).select("a", "b", "i", F.explode(blocks("mb")).alias("j"))
+    grid = pairs.filter(~alone).select("a", "b", "mb", F.explode(blocks("ma")).alias("i")).select("a", "b", "i", F.explode(blocks("mb")).alias("j"))
     # a vector's block follows from its id alone: about BLOCK members share one
     part = lambda n: F.pmod(F.xxhash64("rep"), ((F.col(n) - 1) / BLOCK).cast("bigint") + 1).cast("int")
     placed = materialize(members.join(size.select("ball", "members"), "ball").withColumn("part", part("members")).drop("members"))
     left = grid.join(placed.withColumnsRenamed({"ball": "a", "part": "i"}), ["a", "i"]).withColumn("side", F.lit(0))
     right = grid.join(placed.withColumnsRenamed({"ball": "b", "part": "j"}), ["b", "j"]).withColumn("side", F.lit(1))
-    cols = ["a", "b", "i", "j", "side", "rep", "copies", "unit"]
-    rows = left.select(*cols).unionByName(right.select(*cols))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if x.empty or y.empty:
-            return pd.DataFrame({"a": [], "b": [], "rep": [], "links": []})
-        u, w = (np.stack([np.frombuffer(v) for v in s.unit]) for s in (x, y))
-        hit = (u @ w.T) >= threshold
-        found = pd.DataFrame({"a": int(pdf.a.iloc[0]), "b": int(pdf.b.iloc[0]), "rep": np.concatenate([x.rep, y.rep]), "links": np.concatenate([hit @ y.copies.to_numpy(), hit.T @ x.copies.to_numpy()])})
-        return found[found.links > 0]
-
-    counts = materialize(rows.groupBy("a", "b", "i", "j").applyInPandas(compare, "a bigint, b bigint, rep bigint, links bigint"))
+    cols = [*_GRID, "side", "rep", "copies", "unit"]
+    rows = left.select(*cols).unionByName(right.select(*cols)).repartition(*_GRID).sortWithinPartitions(*_GRID, "side")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        key: tuple | None = None
+        held: list[tuple] = []
+        for batch in batches:
+            at = np.stack([c.to_numpy() for c in batch.columns[:4]], axis=1)
+            starts = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1, [len(at)]])
+            rest, found = list(zip(*(c.to_pylist() for c in batch.columns[4:]), strict=True)), []
+            for low, high in zip(starts[:-1], starts[1:], strict=True):
+                if (own := tuple(at[low].tolist())) != key:
+                    found += _between(key, held, threshold)
+                    key, held = own, []
+                held += rest[low:high]
+            yield _counts(found)
+        yield _counts(_between(key, held, threshold))
+
+    dense = rows.mapInArrow(run, "a bigint, b bigint, rep bigint, links bigint")
+    counts = materialize(dense.unionByName(single[0]).unionByName(single[1]))
     return counts.groupBy("rep").agg(F.sum("links").alias("links")), counts.select("a", "b").distinct()
 
 
+_GRID = ("a", "b", "i", "j")
+
+
+def _between(key: tuple | None, rows: list[tuple], threshold: float) -> list[tuple]:
+    """(a, b, rep, links) of the vectors of one block of a ball and one of another: rows of (side, rep, copies, unit)."""
+    x, y = ([r for r in rows if r[0] == side] for side in (0, 1))
+    if not x or not y:
+        return []
+    u, w = (np.frombuffer(b"".join(r[3] for r in z)).reshape(len(z), -1) for z in (x, y))
+    hit = (u @ w.T) >= threshold
+    links = [*(hit @ np.array([r[2] for r in y])), *(np.array([r[2] for r in x]) @ hit)]
+    return [(key[0], key[1], r[1], int(n)) for r, n in zip([*x, *y], links, strict=True) if n]
+
+
+def _counts(found: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "rep", "links"])
+
+
 def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (smallest vec_id reachable), kept."""
     rows = usable(vectors, id_col, vec_col)

@@ -434,3 +434,27 @@ def test_workers_keep_their_collector(spark):
 
     bpe.encode_texts(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
     assert all(r.on for r in spark.range(8).mapInPandas(lambda parts: (p.assign(on=gc.isenabled())[["on"]] for p in parts), "on boolean").collect())
+
+
+def test_links_of_many_vectors_around_the_threshold(spark):
+    """Nearly all balls hold one vector here."""
+    import time
+
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=64)
+    middle /= np.linalg.norm(middle)
+    side = rng.normal(size=(400, 64))
+    side -= (side @ middle)[:, None] * middle
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    x = np.sqrt(0.9) * middle + np.sqrt(0.1) * side
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, x[7].tolist()), (401, x[7].tolist())]
+    began = time.perf_counter()
+    got = {r.vec_id: r.n_links for r in embed.embedding_links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    y = np.array([v for _, v in rows])
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    cos = y @ y.T
+    assert not (abs(cos - 0.9) < 1e-9).any()
+    want = (cos >= 0.9).sum(1) - 1
+    assert sum(want) > 20_000 and sum(got[i] == n for i, n in enumerate(want)) >= 0.97 * len(want)
+    assert all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.995 * sum(want)
+    assert time.perf_counter() - began < 60
