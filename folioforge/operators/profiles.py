@@ -129,13 +129,17 @@ def directory_rows(flat: DataFrame) -> DataFrame:
     )
 
 
-def matches_text(search: str) -> Column:
-    """A case-insensitive substring of name, designation, university and degrees, joined by spaces."""
+def searched_text() -> Column:
+    """What a search looks through: name, designation, university and degrees, joined by spaces."""
     blank = F.lit("")
     single = [F.coalesce(F.col(c), blank) for c in ("full_name", "designation", "university", "highest_degree", "raw_highest_degree")]
     raw = F.transform("education", lambda e: F.coalesce(e["degree"], blank))
-    whole = F.array_join(F.concat(F.array(*single), "all_degrees", raw), " ")
-    return F.contains(F.lower(whole), F.lit(search.strip().lower()))
+    return F.array_join(F.concat(F.array(*single), "all_degrees", raw), " ")
+
+
+def matches_text(search: str) -> Column:
+    """A case-insensitive substring of :func:`searched_text`."""
+    return F.contains(F.lower(searched_text()), F.lit(search.strip().lower()))
 
 
 def matches_degree(degree: str) -> Column:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from folioforge.functions import degrees as dg
 from folioforge.functions import similarity as sim
 from folioforge.functions import text as tx
-from folioforge.operators import cleaning, dedup, degrees, extraction, prompts, record_eval, text_eval, validation
+from folioforge.operators import cleaning, dashboard, dedup, degrees, extraction, prompts, record_eval, text_eval, validation
 from folioforge.operators import profiles as pr
+from folioforge.operators.search import SearchIndex
 from folioforge.plans import fixtures as fx
 from folioforge.sources.registry import Registry
 
@@ -690,6 +691,16 @@ for _name, (_criteria, _condition) in _MATCHES.items():
     _search_query(_name, _criteria, _condition)
 
 
+@query(ORACLE_SQL["q1_search"])
+def q1_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search through an index of two batches."""
+    found, flat = SearchIndex(spark, _scratch(spark)), _flat(spark, sf_dir)
+    odd = F.pmod(F.xxhash64("id"), F.lit(2))
+    for part in (0, 1):
+        found.add(flat.filter(odd == part), f"part-{part}")
+    return found.search(_MATCHES["q1_search"][0]["search"])
+
+
 @query(f"with {_D_FLAT} select count(*) as results from flat where contains(lower(designation), 'research')")
 def q8_result_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.result_count(pr.filter_profiles(_flat(spark, sf_dir), designation="Research"))
@@ -745,6 +756,23 @@ def a8_facet_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.facet_experience(_flat(spark, sf_dir))
 
 
+_D_CLASS = """case when contains(lower(designation), 'assistant') then 'Assistant Professor' when contains(lower(designation), 'associate') then 'Associate Professor'
+  when contains(lower(designation), 'professor') then 'Professor' when contains(lower(designation), 'postdoc') or contains(lower(designation), 'research') then 'Researcher' else 'Other' end"""
+
+
+@query(f"""
+with {_D_FLAT}, e as (
+  select 'degree' as facet, highest_degree as value, 0::bigint as amount from flat union all select 'designation_class', {_D_CLASS}, 0 from flat union all select 'experience', bucket, 0 from flat
+  union all select 'value:institution', institution, 0 from flat union all select 'value:designation', designation, 0 from flat union all select 'value:university', university, 0 from flat
+  union all select 'research', 'Journals', journal from flat union all select 'research', 'Conferences', conference from flat union all select 'research', 'Patents', patents from flat
+  union all select 'any_degree', unnest(list_distinct(list_append(degrees, highest_degree))), 0 from flat
+) select facet, value, count(*) as profiles, sum(amount)::bigint as total from e where value <> '' group by 1, 2
+""")
+def a_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts behind all charts and facets, from one pass."""
+    return dashboard.facets(_flat(spark, sf_dir))
+
+
 @query(f"with {_D_FLAT} select designation, avg(experience_years) as years, avg(journal) as journal from flat group by 1")
 def a9_group_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _flat(spark, sf_dir).select("id", "designation", F.col("experience_years").alias("years"), pr.count_of("journal_publications").alias("journal"))
