@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions.plan import computed_once, let
 from folioforge.functions.text import trim_all
 from folioforge.operators import schema
 from folioforge.operators.degrees import enrich_profiles
+from folioforge.sources.batches import Batches
 
 # Phrases that are taken off the start of a response, in this order.
 PREFIXES = ["Here is the JSON:", "Here is your JSON:", "Here is the extracted JSON:", "The extracted information is:", "Output:", "Answer:"]
@@ -49,11 +52,12 @@ def clean_response(text: Column) -> Column:
 def parse_strict(text: Column) -> Column:
     """The variant if the whole text is one JSON value, else null.
 
-    The parser ignores what follows a value; inside brackets and as a member it cannot.
+    The parser ignores what follows a value. So the text is parsed as the first of two items of a list, the
+    second of which is a hash of the text: only if it comes out again was the text read to its end.
     """
-    items = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).try_cast("array<variant>")
-    member = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
-    return let(items, lambda x: F.when((F.size(x) == 1) & member, x[0]))
+    mark = F.hex(F.xxhash64(text))
+    items = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))).try_cast("array<variant>")
+    return let(items, lambda x: F.when((F.size(x) == 2) & (F.try_variant_get(x[1], "$", "string") == mark), x[0]))
 
 
 def _kind(value: Column) -> Column:
@@ -109,19 +113,51 @@ def repair(value: Column) -> Column:
     )
 
 
-def validate_responses(responses: DataFrame, response: str = "response") -> DataFrame:
-    """Add ``cleaned``, ``valid`` and the columns of an enriched profile (null where not valid).
+def parse_responses(responses: DataFrame, response: str = "response") -> DataFrame:
+    """Add ``cleaned``, ``value`` (the JSON value as a variant, parsed once; null where not valid) and ``valid``.
 
     Of repeated keys in an object the last one counts, as the session setting
     ``spark.sql.variant.allowDuplicateKeys``, which this sets, says. NaN is not accepted.
     """
     responses.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     cleaned = computed_once(responses, {"cleaned": clean_response(F.col(response))})
-    parsed = computed_once(cleaned, {"_v": parse_strict(F.col("cleaned"))}).withColumn("valid", F.col("_v").isNotNull())
-    rows = computed_once(parsed, {"_p": F.when(F.col("valid"), repair(F.col("_v")))})
-    profile = ["personal_information", "education", "experience", "publication_summary"]
-    rows = rows.select(*responses.columns, "cleaned", "valid", *[F.col(f"_p.{n}").alias(n) for n in profile])
-    return enrich_profiles(rows)
+    return computed_once(cleaned, {"value": parse_strict(F.col("cleaned"))}).withColumn("valid", F.col("value").isNotNull())
+
+
+PROFILE = ["personal_information", "education", "experience", "publication_summary"]
+
+
+def repair_parsed(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The columns ``keep`` and those of an enriched profile (null where ``value`` is) of parsed responses, stored or not."""
+    rows = computed_once(parsed, {"_p": F.when(F.col("value").isNotNull(), repair(F.col("value")))})
+    return enrich_profiles(rows.select(*keep, *[F.col(f"_p.{n}").alias(n) for n in PROFILE]))
+
+
+def validate_responses(responses: DataFrame, response: str = "response") -> DataFrame:
+    """Add ``cleaned``, ``valid`` and the columns of an enriched profile (null where not valid); see :func:`parse_responses`."""
+    return repair_parsed(parse_responses(responses, response), [*responses.columns, "cleaned", "valid"])
+
+
+def store_parsed(parsed: DataFrame, path: str, batch: str) -> None:
+    """Keep parsed responses as a table of variants, by batches: one of the same key is replaced."""
+    Batches(parsed.sparkSession, path).publish(batch, lambda to: parsed.write.parquet(to))
+
+
+def read_parsed(spark: SparkSession, path: str, keys: str = "doc_id bigint, attempt int") -> DataFrame:
+    """What :func:`store_parsed` keeps; paths of values that are asked for are read from the files as columns."""
+    return Batches(spark, path).read(f"{keys}, response string, cleaned string, value variant, valid boolean")
+
+
+def resolve_parsed(parsed: DataFrame, key: str = "doc_id", most: int = MAX_ATTEMPTS) -> DataFrame:
+    """:func:`resolve_attempts` of parsed responses: the attempt is chosen on numbers, and only its value is repaired."""
+    rows = parsed.filter(F.col("attempt") <= most)
+    good = F.when(F.col("valid"), F.col("attempt"))
+    chosen = rows.groupBy(key).agg(F.min(good).alias("_good"), F.max("attempt").alias("_tried"))
+    values = rows.filter("valid").select(F.col(key).alias("_key"), F.col("attempt").alias("_attempt"), "value")
+    found = chosen.join(values, (F.col(key) == F.col("_key")) & (F.col("_good") == F.col("_attempt")), "left")
+    status = F.when(F.col("_good").isNotNull(), "success").otherwise("failed")
+    found = found.withColumns({"status": status, "attempts": F.coalesce("_good", "_tried")})
+    return repair_parsed(found, [key, "status", "attempts"])
 
 
 def profiles_of(validated: DataFrame) -> DataFrame:

@@ -457,14 +457,30 @@ from g
 """)
 def v8_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid responses repaired to the schema: strings, whole numbers, lists, defaults and unknown keys."""
+    return _profile_columns(validation.profiles_of(_validated(spark, sf_dir)))
+
+
+def _profile_columns(profiles: DataFrame) -> DataFrame:
     first = lambda s, n: F.get(F.col(s), F.lit(0))[n].alias(n)
-    return validation.profiles_of(_validated(spark, sf_dir)).select(
+    return profiles.select(
         "doc_id", "attempt", "personal_information.full_name", "personal_information.phone", "personal_information.gender",
         F.size("education").alias("educations"), first("education", "degree"), first("education", "year"), F.size("experience").alias("experiences"), first("experience", "designation"),
         *[f"publication_summary.{n}" for n in ("journal_publications", "conference_publications", "book_chapters", "patents")], F.col("normalized_highest_degree").alias("highest"),
     )
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The responses parsed once and kept as variants."""
+    path = _scratch(spark)
+    validation.store_parsed(validation.parse_responses(fx.responses(spark, sf_dir)), path, "all")
+    return validation.read_parsed(spark, path)
+
+
+@query(ORACLE_SQL["v8_profiles"])
+def v8_profiles_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profile_columns(validation.repair_parsed(_stored(spark, sf_dir).filter("valid"), ["doc_id", "attempt"]))
+
+
 @query(f"with {_D_ATTEMPTS}, r as ({_D_RESPONSES}) select doc_id::varchar || '_raw' as name, response from r join a using (doc_id, attempt) where kind in (3, 7, 8)")
 def v8_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.quarantine(_validated(spark, sf_dir))
@@ -496,6 +512,11 @@ def v9_resolve_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.resolve_responses(fx.responses(spark, sf_dir)).select("doc_id", "status", "attempts")
 
 
+@query(ORACLE_SQL["v9_resolve_attempts"])
+def v9_resolve_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.resolve_parsed(_stored(spark, sf_dir)).select("doc_id", "status", "attempts")
+
+
 @query(f"with {_D_RESOLVED} select count(*) as documents, count(first_good) as success, count(*) - count(first_good) as failed, max(coalesce(first_good, 3)) as most_attempts, sum(coalesce(first_good, 3))::bigint as all_attempts from s")
 def v10_attempt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.attempt_summary(validation.resolve_responses(fx.responses(spark, sf_dir)))
