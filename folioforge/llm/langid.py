@@ -87,6 +87,10 @@ def _window(sums: np.ndarray, start: int, end: int, down: np.uint64) -> np.ndarr
     return _mixed((sums[:, end] - sums[:, start]) * down)
 
 
+#: Words of more characters are worked on one by one, so many characters at once.
+LONG_WORD, SLAB = 1_000, 1 << 14
+
+
 class Vocabulary:
     """Finds pieces inside words by hashes of windows, many words of one length at once."""
 
@@ -143,11 +147,46 @@ class Model:
         out = np.zeros((len(some), len(self.languages)))
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(some):
-            by_length.setdefault(len(w), []).append(i)
+            if len(w) > LONG_WORD:
+                out[i] = self._forward_long(w)
+            else:
+                by_length.setdefault(len(w), []).append(i)
         for n, rows in by_length.items():
             out[rows] = self._forward(_codes([some[i] for i in rows], n))
         return out
 
+    def _forward_long(self, word: str) -> np.ndarray:
+        """The same for one long word. The pieces at all places of a slab are found at once, and each
+        place then takes one product of the last places' sums with the probabilities of the pieces that end there."""
+        reach, known = self.vocabulary.longest, self.vocabulary.by_length
+        sums = np.zeros((SLAB + reach, len(self.languages)))
+        sums[reach - 1] = 1.0
+        logs, step = np.zeros(len(self.languages)), 0
+        for begin in range(0, len(word), SLAB):
+            before = min(begin, reach - 1)
+            codes = _codes([word[begin - before : begin + SLAB]], min(before + len(word) - begin, before + SLAB))
+            prefixes, down = _prefixes(codes)[0], _powers(_INVERSE, codes.shape[1])
+            size = codes.shape[1] - before
+            p = np.zeros((size, reach, len(self.languages)))
+            p[:, -1] = UNKNOWN
+            for n, (hashes, ids) in known.items():
+                first = max(0, n - 1 - before)  # the first place of the slab where a piece of this length may end
+                if len(hashes) and first < size:
+                    start = np.arange(first, size) + before + 1 - n
+                    h = _mixed((prefixes[start + n] - prefixes[start]) * down[start])
+                    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                    hit = np.flatnonzero(hashes[at] == h)
+                    p[first + hit, reach - n] = self.p[ids[at[hit]]]
+            for j in range(size):
+                np.einsum("nl,nl->l", sums[j : j + reach], p[j], out=sums[j + reach])
+                step += 1
+                if step % RESCALE == 0:
+                    last = sums[j + reach].copy()
+                    logs += np.log(last)
+                    sums[j + 1 : j + reach + 1] /= last
+            sums[:reach] = sums[size : size + reach].copy()
+        return logs + np.log(sums[reach - 1])
+
     def _forward(self, codes: np.ndarray) -> np.ndarray:
         ahead = [np.ones((len(codes), len(self.languages)))]  # of the last places, the nearest one last
         logs = np.zeros_like(ahead[0])

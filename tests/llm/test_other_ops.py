@@ -458,3 +458,18 @@ def test_links_of_many_vectors_around_the_threshold(spark):
     assert sum(want) > 20_000 and sum(got[i] == n for i, n in enumerate(want)) >= 0.97 * len(want)
     assert all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.995 * sum(want)
     assert time.perf_counter() - began < 60
+
+
+def test_long_words_have_the_same_sums_in_little_time(monkeypatch):
+    import time
+
+    rng = random.Random(4)
+    model = langid.fit({"a": ["the river house and other words of the land"] * 3, "b": ["la maison et les autres mots"] * 3}, langid.read_pieces(PIECES), 2)
+    monkeypatch.setattr(langid, "SLAB", 300)
+    for n in (1, 40, 299, 300, 301, 2500):
+        word = "▁" + "".join(rng.choice("abcdefghiétsnrx") for _ in range(n))
+        assert np.allclose(model._forward_long(word), model._forward(langid._codes([word], len(word)))[0], rtol=1e-12, atol=1e-9)
+    monkeypatch.undo()
+    began = time.perf_counter()
+    assert model.predict(["".join(rng.choice("acgt") for _ in range(1_000_000))])[0][0] in ("a", "b")
+    assert time.perf_counter() - began < 40
