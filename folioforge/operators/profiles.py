@@ -53,12 +53,20 @@ def count_of(name: str) -> Column:
     return F.coalesce(F.col(f"publication_summary.{name}"), F.lit(0))
 
 
+# Placeholders of empty timelines and roles, and the wording of the summary.
+NO_EDUCATION, NO_EXPERIENCE, ROLE = "No education details extracted", "No experience details extracted", "Faculty Role"
+SUMMARY = (
+    "%s is an %s with approximately %d years of academic and professional experience. Highest qualification: %s. "
+    "Research record includes %d journal papers, %d conference publications, and %d patents."
+)
+
+
 def education_timeline(flat: DataFrame) -> DataFrame:
     """One row per entry in order; a profile without entries has one placeholder row."""
     rows = flat.select("id", F.posexplode_outer("education").alias("pos", "e"))
     name = F.col("e.normalized_degree")
     raw = F.trim(F.coalesce("e.degree", F.lit("")))
-    title = F.when(F.col("e").isNull(), "No education details extracted").otherwise(name)
+    title = F.when(F.col("e").isNull(), NO_EDUCATION).otherwise(name)
     place = F.when(F.col("e").isNotNull(), tx.value_or(_or(F.col("e.institution"), F.col("e.board_university"))))
     return rows.select("id", F.coalesce("pos", F.lit(0)).alias("pos"), title.alias("title"), F.when(raw != name, raw).otherwise("").alias("raw_degree"), place.alias("place"), F.when(F.col("e").isNotNull(), tx.value_or(F.col("e.year"))).alias("year"))
 
@@ -74,7 +82,7 @@ def experience_timeline(flat: DataFrame) -> DataFrame:
     return rows.select(
         "id",
         F.coalesce("pos", F.lit(0)).alias("pos"),
-        F.when(there, tx.value_or(F.col("e.designation"), "Faculty Role")).otherwise("No experience details extracted").alias("title"),
+        F.when(there, tx.value_or(F.col("e.designation"), ROLE)).otherwise(NO_EXPERIENCE).alias("title"),
         F.when(there, tx.value_or(_or(*places, F.lit("")))).alias("place"),
         F.when(there, period).alias("period"),
     )
@@ -96,8 +104,7 @@ def profile_summary(flat: DataFrame) -> DataFrame:
     """(id, summary): one paragraph about each profile."""
     years = tx.experience_years(F.when(F.col("experience_text").rlike(r"^\d+ roles$"), F.lit("")).otherwise(F.col("experience_text")))
     text = F.format_string(
-        "%s is an %s with approximately %d years of academic and professional experience. Highest qualification: %s. "
-        "Research record includes %d journal papers, %d conference publications, and %d patents.",
+        SUMMARY,
         tx.value_or(F.col("full_name"), "This faculty member"), "designation", years, "highest_degree",
         count_of("journal_publications"), count_of("conference_publications"), count_of("patents"),
     )

@@ -18,6 +18,7 @@ RULES = (
     "Keep the entries of lists in the order of the document.",
     "Keep dates as they are written.",
 )
+# Fixed value: the line that ends a prompt.
 CLOSING = "Return ONLY valid JSON."
 
 

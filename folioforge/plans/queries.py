@@ -87,9 +87,10 @@ def d3_drop_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.drop_known(fx.documents(spark, sf_dir), fx.registry(spark, sf_dir)).select("doc_id")
 
 
-@query("select min(doc_id) as doc_id, sha256(text) as content_hash from documents group by 2")
+@query("with f as (select min(doc_id) as doc_id, sha256(text) as content_hash from documents group by 2) select d.*, content_hash from documents d join f using (doc_id)")
 def d4_dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.dedup_exact(fx.documents(spark, sf_dir), keep=["doc_id"])
+    """The whole rows that stay."""
+    return dedup.dedup_exact(fx.documents(spark, sf_dir))
 
 
 @query(f"with {_D_REGISTRY} select min(doc_id) as doc_id, sha256(text) as content_hash from documents where sha256(text) not in (select h from r) group by 2")
