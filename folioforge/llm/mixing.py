@@ -6,7 +6,8 @@ document at the cut is taken in part. A budget above the source's size runs thro
 again (at most twice in all).
 
 The sort is distributed: the leading bits of the key split every source into bins of about
-``BIN_ROWS`` rows, however large the source is; bins are summed first, then the rows of each bin.
+``BIN_ROWS`` rows, however large the source is; bins are summed first, then the rows of each bin. Rows
+that are alike are counted before that, so a million of them are one row of a bin.
 
 Defined results: null text has size 0; a null source is a source of its own, the last one; rows
 that repeat share the same key and are ordered among themselves by size; rows without doc_id get
@@ -65,8 +66,11 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     """The rows of :func:`mix` with a hash of their text."""
     own = F.md5(F.concat(F.lit(f"|{seed}"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).cast("binary"))
     key = F.when(F.col(id_col).isNull(), own).otherwise(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")).cast("binary")))
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), key.alias("key"), F.xxhash64(text_col).alias("text_key")))
-    sizes = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), key.alias("key"), F.xxhash64(text_col).alias("text_key"))
+    # rows that are alike, such as those without id and text, are one row with a number of copies
+    rows = materialize(rows.groupBy("doc_id", "source", "size", "key", "text_key").agg(F.count(F.lit(1)).alias("copies")))
+    weight = F.col("size") * F.col("copies")
+    sizes = materialize(rows.groupBy("source").agg(F.sum(weight).alias("source_size"), F.sum("copies").alias("rows")))
     targets = source_targets(sizes, weights, share, epochs)
 
     total = rows.count()
@@ -75,15 +79,16 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
         digits += 1
     rows = rows.withColumn("bin", F.substring("key", 1, digits))
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
+    bins = rows.groupBy("source", "bin").agg(F.sum(weight).alias("bin_size"))
     bins = bins.withColumn("offset", F.coalesce(F.sum("bin_size").over(before), F.lit(0)))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     bins = bins.join(targets, same(bins, targets)).drop(targets["source"])
-    inside = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    inside = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     r, b = placed.alias("r"), bins.alias("b")
     placed = r.join(b, F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bin") == F.col("b.bin")))
-    start = F.col("offset") + F.col("inside")
+    placed = placed.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy"))
+    start = F.col("offset") + F.col("inside") + F.col("copy") * F.col("size")
     budget = F.floor("target")
     rounds = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     left = budget - rounds * F.col("source_size")

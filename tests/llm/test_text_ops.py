@@ -313,6 +313,14 @@ def test_mix_of_repeated_and_missing_ids(spark):
     assert {(r.doc_id, r.text) for r in mixing.apply_mix(docs).collect()} <= {(i, t) for i, t, _ in rows if t}
 
 
+def test_mix_of_many_rows_without_id_and_text(spark):
+    rows = [(None, "same text here", "a")] * 500 + [(None, None, "a")] * 500 + [(i, "one two", "b") for i in range(20)]
+    out = mixing.mix(table(spark, rows, "doc_id bigint, text string, source string")).collect()
+    own = [r for r in out if r.source == "a"]
+    assert len(out) == len(rows) and sum(r.size for r in own) == own[0].source_size == 1500
+    assert sum(r.taken for r in own) == int(own[0].target) and max(r.taken for r in own) <= 6
+
+
 def test_bins_do_not_change_the_mix(spark, monkeypatch):
     rows = [(i, "w " * (i % 7 + 1), "a" if i % 3 else "b") for i in range(300)]
     docs = table(spark, rows, "doc_id bigint, text string, source string")
