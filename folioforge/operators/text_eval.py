@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from folioforge.functions.similarity import edit_distance
+from folioforge.functions.edit_distance import levenshtein
 from folioforge.functions.text import trim_all, words
 from folioforge.operators.profiles import group_means
 
@@ -29,22 +28,44 @@ def pair_texts(truth: DataFrame, found: DataFrame, key: str = "doc_id") -> DataF
     return found.join(truth, key)
 
 
-def _hits(truth: str, found: str, longest: int = 4) -> list[int]:
-    """Clipped counts of common 1- to 4-grams, and the words of both texts."""
-    a, b = truth.split(), found.split()
-    grams = lambda words, n: Counter(zip(*(words[i:] for i in range(n)), strict=False))
-    return [*((grams(a, n) & grams(b, n)).total() for n in range(1, longest + 1)), len(a), len(b)]
+def _counts(truth: str, found: str, longest: int = 4) -> list[int]:
+    """Clipped counts of common 1- to 4-grams, the words of both texts, the distinct words both have, and those of each added up.
+
+    Words get numbers, and so do n-grams, from the number of the gram before and that of the next word; so grams
+    are counted exactly, by sorting numbers.
+    """
+    if truth == found:
+        words, distinct = truth.split(), len(set(truth.split()))
+        return [*(max(0, len(words) - n) for n in range(longest)), len(words), len(words), distinct, 2 * distinct]
+    ids: dict[str, int] = {}
+    x, y = (np.array([ids.setdefault(w, len(ids)) for w in text.split()], np.int64) for text in (truth, found))
+    a, b = np.bincount(x, minlength=len(ids)), np.bincount(y, minlength=len(ids))
+    out, p, q = [int(np.minimum(a, b).sum())], x, y
+    for n in range(1, longest):
+        p, q = (g[: max(0, len(w) - n)] * len(ids) + w[n:] for g, w in ((p, x), (q, y)))
+        names = np.unique(np.concatenate([p, q]), return_inverse=True)[1]
+        p, q = names[: len(p)], names[len(p) :]
+        out.append(int(np.minimum(*(np.bincount(g, minlength=len(names)) for g in (p, q))).sum()))
+    return [*out, len(x), len(y), int(((a > 0) & (b > 0)).sum()), int((a > 0).sum() + (b > 0).sum())]
 
 
 _HITS = ["m1", "m2", "m3", "m4", "ref", "hyp"]
+_COUNTS = [*_HITS, "both", "total"]
 
 
 @F.pandas_udf(StructType([StructField(n, LongType()) for n in _HITS]))
 def gram_hits(truth: pd.Series, found: pd.Series) -> pd.DataFrame:
-    rows = [_hits(a or "", b or "") for a, b in zip(truth, found, strict=True)]
+    rows = [_counts(a or "", b or "")[: len(_HITS)] for a, b in zip(truth, found, strict=True)]
     return pd.DataFrame(rows, columns=_HITS)
 
 
+@F.pandas_udf(StructType([StructField(n, LongType()) for n in [*_COUNTS, "d"]]))
+def pair_counts(truth: pd.Series, found: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """All that the scores of a pair are made from: counts of words and grams, and the edit distance of the trimmed texts."""
+    rows = [[*_counts(x, y), levenshtein(s, t)] for x, y, s, t in zip(truth, found, a, b, strict=True)]
+    return pd.DataFrame(rows, columns=[*_COUNTS, "d"])
+
+
 def bleu_score(hits: str) -> Column:
     """BLEU with one reference, clipped n-gram counts, brevity penalty, and EPSILON for zero counts, from :func:`gram_hits`."""
     h = lambda n: F.col(f"{hits}.{n}")
@@ -62,14 +83,14 @@ def bleu4(pairs: DataFrame, keys: tuple[str, ...] = ("doc_id", "tool")) -> DataF
 
 
 def score_texts(pairs: DataFrame, keys: tuple[str, ...] = ("doc_id", "tool")) -> DataFrame:
-    """f1, cer, ned and bleu of each pair; the edit distance is computed once."""
+    """f1, cer, ned and bleu of each pair; its words are split and its distance is computed once."""
     rows = pairs.select(*keys, F.coalesce("gt", F.lit("")).alias("gt"), F.coalesce("pred", F.lit("")).alias("pred"))
     rows = rows.withColumns({"a": trim_all(F.col("gt")), "b": trim_all(F.col("pred"))})
-    size = {s: F.length(s).alias(f"n_{s}") for s in ("a", "b")}
-    rows = rows.select(*keys, token_f1(F.col("gt"), F.col("pred")).alias("f1"), edit_distance("a", "b").alias("d"), gram_hits("gt", "pred").alias("hits"), *size.values())
-    cer = F.when(F.col("n_a") > 0, F.col("d") / F.col("n_a"))
+    rows = rows.select(*keys, pair_counts("gt", "pred", "a", "b").alias("c"), F.length("a").alias("n_a"), F.length("b").alias("n_b"))
+    f1 = F.when(F.col("c.both") > 0, 2.0 * F.col("c.both") / F.col("c.total")).otherwise(0.0)
+    cer = F.when(F.col("n_a") > 0, F.col("c.d") / F.col("n_a"))
     most = F.greatest("n_a", "n_b")
-    return rows.select(*keys, "f1", cer.alias("cer"), F.when(most > 0, F.col("d") / most).alias("ned"), bleu_score("hits").alias("bleu"))
+    return rows.select(*keys, f1.alias("f1"), cer.alias("cer"), F.when(most > 0, F.col("c.d") / most).alias("ned"), bleu_score("c").alias("bleu"))
 
 
 def summarise_tools(scores: DataFrame) -> DataFrame:

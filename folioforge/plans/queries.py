@@ -838,9 +838,13 @@ def t2_t3_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "tool", sim.character_error_rate(F.col("d"), F.col("gt")).alias("cer"), sim.normalised_distance(F.col("d"), F.col("gt"), F.col("pred")).alias("ned"))
 
 
-@query(f"with {_D_SCORES}, {_D_BLEU} select * from bleu")
+# Logarithms differ in the last digit from one engine to the other.
+_D_ROUNDED = "round(bleu, 12) as bleu"
+
+
+@query(f"with {_D_SCORES}, {_D_BLEU} select doc_id, tool, {_D_ROUNDED} from bleu")
 def t4_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_eval.bleu4(fx.tool_texts(spark, sf_dir))
+    return text_eval.bleu4(fx.tool_texts(spark, sf_dir)).withColumn("bleu", F.round("bleu", 12))
 
 
 @query(f"with t as ({_D_TOOLS}) select doc_id, tool, length(pred) as pred_length, length(gt) as gt_length from t")
@@ -858,9 +862,9 @@ _D_ALL = f"{_D_SCORES}, {_D_BLEU}, {_D_DISTANCE}, scores as (select doc_id, tool
 _D_MEANS = f"{_D_ALL}, means as (select tool, {', '.join(f'avg({m}) as {m}' for m in text_eval.METRICS)} from scores group by 1)"
 
 
-@query(f"with {_D_ALL} select * from scores")
+@query(f"with {_D_ALL} select doc_id, tool, f1, cer, ned, {_D_ROUNDED} from scores")
 def t6_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir)
+    return _scored(spark, sf_dir).withColumn("bleu", F.round("bleu", 12))
 
 
 @query(f"with {_D_MEANS} select tool, {', '.join(f'round({m}, 9) as {m}' for m in text_eval.METRICS)} from means")

@@ -282,3 +282,17 @@ def test_predictions_are_found_by_name_then_number(spark):
     found = spark.createDataFrame([("m", "Resume-01"), ("m", "R-001"), ("n", "R-1"), ("n", "Resume-012")], "model string, pred_name string")
     got = {(r.cand_id, r.model): r.pred_name for r in record_eval.resolve_predictions(truth, found).collect()}
     assert got == {("R-001", "m"): "R-001", ("R-001", "n"): "R-1", ("R-12", "n"): "Resume-012"}
+
+
+def test_counts_of_words_and_grams():
+    from collections import Counter
+
+    rng = random.Random(6)
+    word = lambda: rng.choice(["a", "b", "c", "é", "\n", " ", "dd"])
+    texts = ["", " ", "a", "a b c d e"] + [" ".join(word() for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    grams = lambda words, n: Counter(zip(*(words[i:] for i in range(n)), strict=False))
+    for _ in range(500):
+        a, b = rng.choice(texts), rng.choice(texts)
+        x, y = a.split(), b.split()
+        want = [*((grams(x, n) & grams(y, n)).total() for n in range(1, 5)), len(x), len(y), len(set(x) & set(y)), len(set(x)) + len(set(y))]
+        assert text_eval._counts(a, b) == want
