@@ -13,6 +13,7 @@ from folioforge.functions import similarity as sim
 from folioforge.functions import text as tx
 from folioforge.operators import cleaning, dashboard, dedup, degrees, extraction, prompts, record_eval, text_eval, validation
 from folioforge.operators import profiles as pr
+from folioforge.operators.record_tables import RecordTables
 from folioforge.operators.search import SearchIndex
 from folioforge.plans import fixtures as fx
 from folioforge.sources.registry import Registry
@@ -1040,6 +1041,20 @@ def r10_r11_score_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("cand_id", "model", "note", *[F.round(c, 9).alias(c) for c in record_eval.SCORES])
 
 
+@query(ORACLE_SQL["r10_r11_score_profiles"])
+def r10_score_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores from bucketed tables, model by model; one is written twice."""
+    import uuid
+
+    tables = RecordTables(spark, f"records_{uuid.uuid4().hex}", _scratch(spark))
+    tables.write_profiles(_enriched(spark, sf_dir))
+    found = degrees.enrich_profiles(fx.predicted_profiles(spark, sf_dir))
+    for models in (["alpha", "beta", "gamma"], ["beta"]):
+        tables.write_predictions(found.filter(F.col("model").isin(models)))
+    scores = record_eval.score_profiles(_dealt(tables.pairs(spark.table(tables.predictions).select("model").distinct())))
+    return scores.select("cand_id", "model", "note", *[F.round(c, 9).alias(c) for c in record_eval.SCORES])
+
+
 @query(f"with {_D_SCORED} select model, {', '.join(f'round(avg({n}), 9) as {n}' for n in record_eval.SCORES)} from scored group by 1")
 def r12_summarise_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = record_eval.summarise_models(record_eval.score_profiles(_dealt(_pairs(spark, sf_dir))))
