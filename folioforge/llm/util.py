@@ -15,11 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.functions.plan import BATCH_BYTES, bound_batches  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: Bytes in an Arrow batch, about.
-BATCH_BYTES = 8 << 20
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -135,13 +134,6 @@ class Memo(dict):
         return value
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Let no Arrow batch grow far beyond BATCH_BYTES, however long the texts are."""
-    now = spark.conf.get(_BATCH_SETTING, None)
-    if now is None or not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
-        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
-
-
 def release_memory() -> None:
     """Give back what earlier tasks of this Python worker freed but the allocators kept."""
     gc.collect()
