@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions.plan import computed_once, let
-from folioforge.functions.text import trim_all
+from folioforge.functions.text import WHITE_SPACE, trim_all
 from folioforge.operators import schema
 from folioforge.operators.degrees import enrich_profiles
 from folioforge.sources.batches import Batches
@@ -18,26 +18,39 @@ PREFIXES = ["Here is the JSON:", "Here is your JSON:", "Here is the extracted JS
 MAX_ATTEMPTS = 3
 
 
+def _trimmed(text: Column) -> Column:
+    """:func:`trim_all`, which looks at every character, of the texts that have white space at an end."""
+    blank = lambda c: F.contains(F.lit(WHITE_SPACE), c)
+    return let(text, lambda t: F.when(blank(F.left(t, F.lit(1))) | blank(F.right(t, F.lit(1))), trim_all(t)).otherwise(t))
+
+
+def _without_fences(text: Column) -> Column:
+    text = F.regexp_replace(text, r"(?i)\A```json|\A```", "")
+    return trim_all(F.regexp_replace(trim_all(text), r"```\z", ""))
+
+
 def strip_fences(text: Column) -> Column:
     """Without a code fence at the start and at the end of the whole text."""
-    text = F.regexp_replace(trim_all(text), r"(?i)\A```json|\A```", "")
-    return trim_all(F.regexp_replace(trim_all(text), r"```\z", ""))
+    return let(_trimmed(text), lambda t: F.when(F.contains(t, F.lit("```")), _without_fences(t)).otherwise(t))
 
 
 def strip_prefixes(text: Column) -> Column:
     """Without the known phrases at the start, each tested once, in order."""
 
     def strip(t: Column, phrase: Column) -> Column:
-        return F.when(F.startswith(F.lower(t), F.lower(phrase)), trim_all(F.substr(t, F.length(phrase) + 1))).otherwise(t)
+        return F.when(F.lower(F.left(t, F.length(phrase))) == F.lower(phrase), trim_all(F.substr(t, F.length(phrase) + 1))).otherwise(t)
 
-    return F.aggregate(F.array(*[F.lit(p) for p in PREFIXES]), text, strip)
+    first = "".join(sorted({c for p in PREFIXES for c in (p[0].lower(), p[0].upper())}))
+    stripped = lambda t: F.aggregate(F.array(*[F.lit(p) for p in PREFIXES]), t, strip)
+    return let(text, lambda t: F.when(F.contains(F.lit(first), F.left(t, F.lit(1))), stripped(t)).otherwise(t))
 
 
 def _slice(text: Column) -> Column:
-    first = F.instr(text, "{")
-    last = F.length(text) - F.instr(F.reverse(text), "}") + 1
+    before, behind = F.length(F.substring_index(text, "{", 1)), F.length(F.substring_index(text, "}", -1))
     both = F.contains(text, F.lit("{")) & F.contains(text, F.lit("}"))
-    return trim_all(F.when(both, F.substr(text, first, F.greatest(last - first + 1, F.lit(0)))).otherwise(text))
+    part = F.substr(text, before + 1, F.greatest(F.length(text) - behind - before, F.lit(0)))
+    whole = F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))
+    return F.when(whole, text).otherwise(_trimmed(F.when(both, part).otherwise(text)))
 
 
 def slice_object(text: Column) -> Column:
@@ -56,7 +69,8 @@ def parse_strict(text: Column) -> Column:
     second of which is a hash of the text: only if it comes out again was the text read to its end.
     """
     mark = F.hex(F.xxhash64(text))
-    items = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))).try_cast("array<variant>")
+    given = F.when(text != "", F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))  # a failed attempt costs more than this test
+    items = F.try_parse_json(given).try_cast("array<variant>")
     return let(items, lambda x: F.when((F.size(x) == 2) & (F.try_variant_get(x[1], "$", "string") == mark), x[0]))
 
 
@@ -66,9 +80,9 @@ def _kind(value: Column) -> Column:
 
 def string_at(value: Column, path: str) -> Column:
     """A trimmed string; null and missing become empty, booleans True or False."""
-    member = F.try_variant_get(value, path, "variant")
+    is_truth = lambda: _kind(F.try_variant_get(value, path, "variant")) == "BOOLEAN"
     text = F.coalesce(F.trim(F.try_variant_get(value, path, "string")), F.lit(""))
-    return F.when(_kind(member) == "BOOLEAN", F.initcap(text)).otherwise(text)
+    return let(text, lambda t: F.when(t.isin("true", "false") & is_truth(), F.initcap(t)).otherwise(t))
 
 
 def int_at(value: Column, path: str) -> Column:
