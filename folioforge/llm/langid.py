@@ -63,7 +63,8 @@ def read_pieces(path: str) -> list[str]:
 
 def words(text: str) -> list[str]:
     """Runs of letters, lower-cased, each with the mark of a word's start before it."""
-    return ["▁" + w for w in _LETTERS.findall(text.lower())]
+    text = text.lower()
+    return ["▁" + text] if text.isalpha() else ["▁" + w for w in _LETTERS.findall(text)]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -205,23 +206,29 @@ class Model:
         return logs + np.log(ahead[-1])
 
     def _learn_tokens(self, tokens: set[str]) -> dict[str, int]:
-        """The costs of tokens: above the best language's, one bit field for each language. Short ones stay in the memo."""
+        """The costs of tokens: above the best language's, one bit field for each language. Short ones stay in the memo.
+
+        All new tokens are worked on in columns; the fields are cut out of their costs' bytes.
+        """
         new = [t for t in tokens if t not in self.costs]
         for t in new:
             if t in self.older:
                 self.costs[t] = self.older[t]
         new = [t for t in new if t not in self.costs]
         parts = [words(t) for t in new]
-        some = sorted({w for p in parts for w in p})
-        place = {w: i for i, w in enumerate(some)}
-        logs = self.log_probabilities(some)
+        place: dict[str, int] = {}
+        every = np.array([place.setdefault(w, len(place)) for p in parts for w in p], np.int64)
+        logs = self.log_probabilities(list(place))
+        size = np.array([len(p) for p in parts], np.int64)
+        total = np.zeros((len(new), len(self.languages)))
+        if len(every):
+            total[size > 0] = np.add.reduceat(logs[every], (np.cumsum(size) - size)[size > 0])
+        costs = ((total.max(axis=1, keepdims=True) - total) * _SCALE).round().astype("<u8")
+        fields = costs.view(np.uint8).reshape(len(new), -1, 8)[:, :, : _FIELD // 8].tobytes()
+        wide = len(self.languages) * _FIELD // 8
         long = {}
-        for t, p in zip(new, parts, strict=True):
-            total = logs[[place[w] for w in p]].sum(axis=0) if len(p) != 1 else logs[place[p[0]]]
-            out = 0
-            for x in ((total.max() - total) * _SCALE).round().astype(int).tolist()[::-1]:
-                out = out << _FIELD | x
-            (self.costs if len(t) <= MEMO_CHARS else long)[t] = out
+        for i, t in enumerate(new):
+            (self.costs if len(t) <= MEMO_CHARS else long)[t] = int.from_bytes(fields[i * wide : (i + 1) * wide], "little")
         return long
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
