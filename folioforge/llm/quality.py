@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.util import Memo, bound_batches, in_hash_sample, map_batches, strings
+from folioforge.llm.util import Memo, bound_batches, in_hash_sample, map_batches, release_memory, strings
 
 PASSAGE_WORDS = 64
 SAMPLE_PER_LABEL, SAMPLE_WORDS = 1500, 4096
@@ -40,6 +40,8 @@ EPOCHS, RATE, DECAY = 20, 0.01, 1e-4
 CUT = 0.7
 #: Passages that are encoded at once.
 BLOCK_PASSAGES = 2048
+#: Texts of the sample that are encoded at once.
+FIT_TEXTS = 64
 
 _SPACE = re.compile(r"\s")
 _RUNS = ((re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() else "Aa" if m[0][0].isupper() else "a"), (re.compile(r"\d+"), lambda m: "9"))
@@ -104,6 +106,17 @@ def _passages(texts: list[list[str]], whole: np.ndarray) -> tuple[np.ndarray, np
     return x, first
 
 
+def _sample_passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`passages` of many texts, FIT_TEXTS at a time: besides the features only one part's words and counts are held."""
+    bags = [max(1, -(-len(t.split()) // PASSAGE_WORDS)) for t in texts]
+    first = np.concatenate([[0], np.cumsum(bags, dtype=np.int64)])
+    x = np.empty((int(first[-1]), WIDTH), np.float32)
+    for i in range(0, len(texts), FIT_TEXTS):
+        part = texts[i : i + FIT_TEXTS]
+        x[first[i] : first[i + len(part)]] = passages(part)[0]
+    return x, first
+
+
 @dataclass
 class Model:
     """Weights of the encoder (w, b), of the gated attention (v, u, a) and of the classifier (c, d)."""
@@ -177,7 +190,7 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 0) -> Mo
     shape = {"w": (WIDTH, HIDDEN), "b": (HIDDEN,), "v": (HIDDEN, GATE), "u": (HIDDEN, GATE), "a": (GATE,), "c": (HIDDEN,), "d": ()}
     p = {k: rng.normal(0, 0.3, s).astype(np.float32) if k not in "bd" else np.zeros(s, np.float32) for k, s in shape.items()}
     model, m1, m2, step = Model(p), {k: 0.0 for k in p}, {k: 0.0 for k in p}, 0
-    x, first = passages(texts)
+    x, first = _sample_passages(texts)
     y = labels.astype(np.float32)
     share = y.mean()
     cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
@@ -233,7 +246,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = [r for v in (0, 1) for r in [r for r in rows if r["label"] == v][:per_label]]
     if len({r["label"] for r in sample}) < 2:
         return None
-    return fit([r["text"] for r in sample], np.array([r["label"] for r in sample]), share[1] / (share[0] + share[1]))
+    texts, wanted = [r["text"] for r in sample], np.array([r["label"] for r in sample])
+    del rows, sample
+    try:
+        return fit(texts, wanted, share[1] / (share[0] + share[1]))
+    finally:  # the driver has other work to do
+        del texts
+        Memo.keep_only()
+        release_memory()
 
 
 def score_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
