@@ -59,7 +59,9 @@ def slice_object(text: Column) -> Column:
 
 
 def clean_response(text: Column) -> Column:
-    return slice_object(strip_prefixes(strip_fences(F.coalesce(text, F.lit("")))))
+    """The JSON part of a response. What starts and ends with a brace is that already: no step changes it."""
+    bare = F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))
+    return F.when(bare, text).otherwise(slice_object(strip_prefixes(strip_fences(F.coalesce(text, F.lit(""))))))
 
 
 def parse_strict(text: Column) -> Column:
@@ -70,8 +72,8 @@ def parse_strict(text: Column) -> Column:
     """
     mark = F.hex(F.xxhash64(text))
     given = F.when(text != "", F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))  # a failed attempt costs more than this test
-    items = F.try_parse_json(given).try_cast("array<variant>")
-    return let(items, lambda x: F.when((F.size(x) == 2) & (F.try_variant_get(x[1], "$", "string") == mark), x[0]))
+    both = lambda x: F.try_variant_get(x, "$[2]", "variant").isNull() & (F.try_variant_get(x, "$[1]", "string") == mark)
+    return let(F.try_parse_json(given), lambda x: F.when(both(x), F.try_variant_get(x, "$[0]", "variant")))
 
 
 def _kind(value: Column) -> Column:
@@ -116,15 +118,19 @@ def records_at(value: Column, key: str, names: list[str]) -> Column:
     return F.when(member.isNull(), blank).otherwise(F.coalesce(F.transform(items, lambda e: _record(e, names)), F.slice(blank, 1, 0)))
 
 
+def repaired(value: Column) -> dict[str, Column]:
+    """The sections of a profile with exactly the schema's keys from any JSON value; only known paths are read, so unknown keys drop out."""
+    return {
+        "personal_information": _record(value, schema.PERSONAL, "$.personal_information"),
+        "education": records_at(value, "education", schema.EDUCATION),
+        "experience": records_at(value, "experience", schema.EXPERIENCE),
+        "publication_summary": F.struct(*[int_at(value, f"$.publication_summary.{n}").alias(n) for n in schema.PUBLICATIONS]),
+    }
+
+
 def repair(value: Column) -> Column:
-    """A profile with exactly the schema's keys from any JSON value; only known paths are read, so unknown keys drop out."""
-    counts = F.struct(*[int_at(value, f"$.publication_summary.{n}").alias(n) for n in schema.PUBLICATIONS])
-    return F.struct(
-        _record(value, schema.PERSONAL, "$.personal_information").alias("personal_information"),
-        records_at(value, "education", schema.EDUCATION).alias("education"),
-        records_at(value, "experience", schema.EXPERIENCE).alias("experience"),
-        counts.alias("publication_summary"),
-    )
+    """:func:`repaired` as one struct."""
+    return F.struct(*[c.alias(n) for n, c in repaired(value).items()])
 
 
 def parse_responses(responses: DataFrame, response: str = "response") -> DataFrame:
@@ -196,18 +202,31 @@ def resolve_attempts(validated: DataFrame, key: str = "doc_id", most: int = MAX_
     return rows.select(key, status, F.coalesce("_first.attempt", "_tried").alias("attempts"), *[F.col(f"_first.{n}").alias(n) for n in names])
 
 
-def resolve_responses(responses: DataFrame, key: str = "doc_id", response: str = "response", most: int = MAX_ATTEMPTS) -> DataFrame:
-    """:func:`resolve_attempts` from raw responses: the attempt is chosen first, and only the chosen response is repaired."""
+def chosen_attempts(responses: DataFrame, key: str = "doc_id", response: str = "response", most: int = MAX_ATTEMPTS) -> DataFrame:
+    """(key, status, attempts, chosen): one row per document, with the JSON text of its first valid attempt among the first ``most``."""
     responses.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     rows = responses.filter(F.col("attempt") <= most).select(key, "attempt", response)
     rows = computed_once(rows, {"_text": clean_response(F.col(response))})
-    rows = rows.select(key, "attempt", F.when(parse_strict(F.col("_text")).isNotNull(), F.col("_text")).alias("_text"))
-    good = F.when(F.col("_text").isNotNull(), F.col("attempt"))
-    chosen = rows.groupBy(key).agg(F.min_by("_text", good).alias("_text"), F.min(good).alias("_good"), F.max("attempt").alias("_tried"))
-    parsed = computed_once(chosen, {"_v": parse_strict(F.col("_text"))}).withColumn("_p", F.when(F.col("_v").isNotNull(), repair(F.col("_v"))))
-    profile = ["personal_information", "education", "experience", "publication_summary"]
+    rows = computed_once(rows, {"_valid": parse_strict(F.col("_text")).isNotNull()})
+    good = F.when(F.col("_valid"), F.col("attempt"))
+    found = rows.groupBy(key).agg(F.min_by("_text", good).alias("chosen"), F.min(good).alias("_good"), F.max("attempt").alias("_tried"))
     status = F.when(F.col("_good").isNotNull(), "success").otherwise("failed").alias("status")
-    return enrich_profiles(parsed.select(key, status, F.coalesce("_good", "_tried").alias("attempts"), *[F.col(f"_p.{n}").alias(n) for n in profile]))
+    return found.select(key, status, F.coalesce("_good", "_tried").alias("attempts"), F.when(F.col("_good").isNotNull(), F.col("chosen")).alias("chosen"))
+
+
+def first_valid_profiles(responses: DataFrame, key: str = "doc_id", response: str = "response", most: int = MAX_ATTEMPTS) -> DataFrame:
+    """(key, status, attempts, sections of a profile): the chosen attempts repaired, without degrees' names.
+
+    Each section is a column by itself, so those that nobody asks for are not made.
+    """
+    parsed = computed_once(chosen_attempts(responses, key, response, most), {"_v": parse_strict(F.col("chosen"))})
+    profile = [F.when(F.col("_v").isNotNull(), c).alias(n) for n, c in repaired(F.col("_v")).items()]
+    return parsed.select(key, "status", "attempts", *profile)
+
+
+def resolve_responses(responses: DataFrame, key: str = "doc_id", response: str = "response", most: int = MAX_ATTEMPTS) -> DataFrame:
+    """:func:`resolve_attempts` from raw responses: the attempt is chosen first, and only the chosen response is repaired."""
+    return enrich_profiles(first_valid_profiles(responses, key, response, most))
 
 
 def attempt_summary(resolved: DataFrame) -> DataFrame:
