@@ -39,7 +39,7 @@ def clean(docs: DataFrame, config: CleanerConfig = CleanerConfig(), text: str =
         elif count is None:
             value = tx.same_length_difference(F.col(before), F.col(after))
         else:
-            value = count(F.col(before))
+            value = F.when(F.col(before) == F.col(after), 0).otherwise(count(F.col(before)))  # what changes nothing counts nothing
         counters.append(F.coalesce(value, F.lit(0)).alias(counter))
     length = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("bigint")
     last = F.col(f"_{len(tx.STAGES)}")
