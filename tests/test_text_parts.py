@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
 import tracemalloc
 import unicodedata
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -24,6 +27,34 @@ def test_a_batch_is_normalised_in_parts():
     assert tx._nfkc.func(pa.array([], pa.string())).to_pylist() == [] and tx._nfkc.func(pa.array([None], pa.string())).to_pylist() == [None]
 
 
+KEPT = """
+import random
+import pyarrow as pa
+from folioforge.functions import text as tx
+
+def resident():
+    return int(next(l for l in open("/proc/self/status") if l.startswith("VmRSS")).split()[1]) / 1024
+
+def batch(seed):
+    rng = random.Random(seed)
+    return pa.array(["é①x" * rng.randrange(1, 4_000) for _ in range(640)], pa.string())  # about 8 MB
+
+nothing = pa.array([], pa.string())
+tx._nfkc.func(pa.array(["é"]))
+before = resident()
+for seed in range(12):
+    tx._nfkc.func(batch(seed))
+tx._nfkc.func(nothing)
+print(resident() - before)
+"""
+
+
+def test_a_batch_leaves_no_memory_behind():
+    """What a worker holds does not grow with the batches that it has seen."""
+    ran = subprocess.run([sys.executable, "-c", KEPT], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, check=True)
+    assert float(ran.stdout) < 8, ran.stdout  # MB
+
+
 def test_stages_look_before_they_work(spark):
     """Every stage and count as by its plain rule, with and without what it looks for."""
     given = ["", "\n", "a\n", "a\r\nb", "a-\nb-\nc", "a-b", "x  y   z", "•é", "a\n\n\n\nb\n", " ", "a \n", "é \n", "a\x85", "a\r", "​“”", "\t•", None]
