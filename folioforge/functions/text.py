@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -47,9 +47,12 @@ def _parts(texts: pa.Array) -> Iterator[pa.Array]:
         start = end
 
 
-def nfkc(text: Column | str) -> Column:
-    """NFKC, for which Spark has no built-in function; ASCII texts, on which it changes nothing, stay out of Python."""
-    bound_batches()
+def nfkc(text: Column | str, spark: SparkSession | None = None) -> Column:
+    """NFKC, for which Spark has no built-in function; ASCII texts, on which it changes nothing, stay out of Python.
+
+    ``spark`` is the session that will run it (without it the active one), whose Arrow batches are bounded.
+    """
+    bound_batches(spark)
     text = F.col(text) if isinstance(text, str) else text
     return F.coalesce(_nfkc(F.when(F.octet_length(text) > F.length(text), text)), text)
 

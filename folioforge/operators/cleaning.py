@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as tx
 from folioforge.functions.text import CleanerConfig
 
 
-def clean_text(text: Column, config: CleanerConfig = CleanerConfig()) -> Column:
-    """All stages that are on, as one expression."""
+def clean_text(text: Column, config: CleanerConfig = CleanerConfig(), spark: SparkSession | None = None) -> Column:
+    """All stages that are on, as one expression; ``spark`` as in :func:`folioforge.functions.text.nfkc`."""
     for option, _, _, stage in tx.STAGES:
         if getattr(config, option):
-            text = stage(tx.nfkc(text)) if option == "unicode" else stage(text)
+            text = stage(tx.nfkc(text, spark)) if option == "unicode" else stage(text)
     return text
 
 
@@ -28,7 +28,7 @@ def clean(docs: DataFrame, config: CleanerConfig = CleanerConfig(), text: str =
     """
     out = docs.withColumn("_0", F.col(text))
     if config.unicode:
-        out = out.withColumn("_0", tx.nfkc("_0"))
+        out = out.withColumn("_0", tx.nfkc("_0", docs.sparkSession))
     counters: list[Column] = []
     for i, (option, counter, count, stage) in enumerate(tx.STAGES):
         before, after = f"_{i}", f"_{i + 1}"

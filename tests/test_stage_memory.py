@@ -8,9 +8,13 @@ import sys
 from hashlib import sha256
 from pathlib import Path
 
+from folioforge.functions.plan import BATCH_BYTES
+
 RUN = """
 import json, os, sys
 from pathlib import Path
+
+from folioforge.functions.plan import BATCH_BYTES
 from pyspark.sql import SparkSession
 import __spark_entry__
 
@@ -51,3 +55,15 @@ def test_a_worker_holds_no_more_of_a_larger_table(tmp_path):
     want = sha256(("é1x " * 1500).rstrip().encode()).hexdigest()
     assert (first, second) == ([1_500, want], [10_000, want])
     assert small > 0 and large < small + 24, (small, large)  # MB
+
+
+def test_the_session_that_runs_a_query_gets_the_bound(spark):
+    """Not the active one, which may be another: that left the batches of the query's own session unbounded."""
+    import __spark_entry__
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for query in ("c8_trailing", "c1_unicode", "c10_clean", "c15_summary", "d6_dedup_text", "flagship"):
+        own = spark.newSession()
+        df = __spark_entry__.queries()[query](own, "/root/testdata/sf0.001")
+        assert df.sparkSession is own
+        assert 0 < int(own.conf.get(setting, None) or 0) <= BATCH_BYTES, query
