@@ -215,6 +215,8 @@ class Model:
             if t in self.older:
                 self.costs[t] = self.older[t]
         new = [t for t in new if t not in self.costs]
+        if not new:
+            return {}
         parts = [words(t) for t in new]
         place: dict[str, int] = {}
         every = np.array([place.setdefault(w, len(place)) for p in parts for w in p], np.int64)

@@ -43,3 +43,11 @@ def test_costs_of_tokens_are_those_of_their_words():
         logs = sum((model.log_probabilities([w])[0] for w in langid.words(t)), np.zeros(2))
         assert [found[t] >> langid._FIELD * i & mask for i in range(2)] == ((logs.max() - logs) * langid._SCALE).round().astype(int).tolist()
     assert langid.words("Straße a_b ²x") == ["▁straße", "▁a", "▁b", "▁²x"] and langid.words("") == []
+
+
+def test_texts_without_new_tokens():
+    """Texts without any token, and a second batch whose tokens are all known."""
+    model = _model()
+    assert model.predict(["", " \n"]) == [("und", 0.0)] * 2
+    first = model.predict(["abc ab", "a b c"])
+    assert model.predict(["abc ab", "a b c"]) == first and model._learn_tokens(set()) == {}
